@@ -49,6 +49,8 @@ def state(node, depth: int = 0) -> str:
         return NOTE
     if any(k in keys for k in ITEM_KEYS) and not ("start" in keys or "position" in keys):
         return SECTION if "title" in keys else RECORD
+    if "title" in keys and "text" not in keys:
+        return SECTION
     if "start" in keys or "end" in keys or "label" in keys:
         return SPAN
     if "context" in keys or "span" in keys or "links" in keys:
