@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import tokenize
+from pyspark.sql import functions as F
+
+from . import canonical, pieces, tokenize
 from ..session import table
 
 
@@ -11,5 +13,50 @@ def p6_ids(spark, sf_dir):
     return tokenize.encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p6_ids": p6_ids}
-SQL: dict[str, str] = {}
+def _values(spark, sf_dir):
+    return canonical.values_of(*(table(spark, sf_dir, t) for t in ("unified", "out_docs", "icd_index")))
+
+
+def p4_found(spark, sf_dir):
+    """(tbl, row_key, item_no): the values that the consistent form changes."""
+    return canonical.changed_forms(_values(spark, sf_dir)).select("tbl", "row_key", F.col("item_no").cast("int").alias("item_no")).distinct()
+
+
+def p4_forms(spark, sf_dir):
+    """(tbl, row_key, item_no, form, changed): every value in its one form."""
+    return canonical.canonical_forms(_values(spark, sf_dir)).select("tbl", "row_key", "item_no", "form", "changed")
+
+
+def p5_pieces(spark, sf_dir):
+    """(rec_id, piece_no, start_at, end_at, shared, piece, spans): the pieces of the long records."""
+    return pieces.split_texts(table(spark, sf_dir, "unified"))
+
+
+def p5_found(spark, sf_dir):
+    """(rec_id): the records that were split."""
+    return p5_pieces(spark, sf_dir).select("rec_id").distinct()
+
+
+QUERIES = {"p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids}
+
+_LOOK_FROM, _LOOK_TO = "".join(canonical.LOOKALIKE_LETTERS), "".join(canonical.LOOKALIKE_LETTERS.values())
+_BLANK = "".join(canonical.BLANKS)
+_PLAIN = r"translate(regexp_replace(v, '[\x{ad}\x{34f}\x{61c}\x{180b}-\x{180f}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{fe00}-\x{fe0f}\x{feff}]', '', 'g'), '{0}', '{1}')".replace(
+    "{0}", canonical._FROM.replace("'", "''")
+).replace("{1}", canonical._TO.replace("'", "''"))
+_FORM = f"""
+WITH vals AS (
+  SELECT 'unified' AS tbl, CAST(rec_id AS VARCHAR) AS row_key, 0 AS item_no, text AS v FROM unified
+  UNION ALL SELECT 'out_docs', CAST(out_id AS VARCHAR), CAST(i - 1 AS INTEGER), concepts[i].text FROM (SELECT out_id, concepts, unnest(range(1, len(concepts) + 1)) AS i FROM out_docs)
+  UNION ALL SELECT 'icd_index', code, 0, vn FROM icd_index
+), plain AS (SELECT DISTINCT tbl, row_key, item_no, v, {_PLAIN} AS p FROM vals WHERE v IS NOT NULL),
+formed AS (
+  SELECT *, nfc_normalize(array_to_string(list_transform(regexp_extract_all(p, '[\\p{{L}}\\p{{M}}]+|[^\\p{{L}}\\p{{M}}]+'),
+    lambda w: CASE WHEN regexp_matches(w, '[\\p{{Cyrillic}}\\p{{Greek}}]') AND regexp_matches(w, '\\p{{Latin}}') THEN translate(w, '{_LOOK_FROM}', '{_LOOK_TO}') ELSE w END), '')) AS f
+  FROM plain
+)
+"""
+SQL: dict[str, str] = {
+    "p4_found": _FORM + "SELECT DISTINCT tbl, row_key, CAST(item_no AS INTEGER) AS item_no FROM formed WHERE f <> v",
+    "p5_found": "SELECT DISTINCT rec_id FROM unified WHERE length(text) > 1000",
+}
