@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import canonical, pieces, tokenize
+from . import canonical, match, mix, pieces, sentences, tokenize
 from ..session import table
 
 
@@ -22,6 +22,18 @@ def p4_found(spark, sf_dir):
     return canonical.changed_forms(_values(spark, sf_dir)).select("tbl", "row_key", F.col("item_no").cast("int").alias("item_no")).distinct()
 
 
+def p3_found(spark, sf_dir):
+    """(out_id, concept_no, code): the entry that each typed diagnosis and drug means, or 'none'."""
+    out = match.link_typed(*(table(spark, sf_dir, t) for t in ("out_docs", "icd_index", "rxnorm_index")))
+    return out.select("out_id", F.col("concept_no").cast("int").alias("concept_no"), "code")
+
+
+def p3_report(spark, sf_dir):
+    """Values and rows by kind and outcome."""
+    out = match.link_typed(*(table(spark, sf_dir, t) for t in ("out_docs", "icd_index", "rxnorm_index")))
+    return out.groupBy("kind", (F.col("code") != match.NONE).alias("matched")).agg(F.count("*").alias("n_rows"), F.count_distinct("value").alias("n_values"))
+
+
 def p4_forms(spark, sf_dir):
     """(tbl, row_key, item_no, form, changed): every value in its one form."""
     return canonical.canonical_forms(_values(spark, sf_dir)).select("tbl", "row_key", "item_no", "form", "changed")
@@ -37,7 +49,28 @@ def p5_found(spark, sf_dir):
     return p5_pieces(spark, sf_dir).select("rec_id").distinct()
 
 
-QUERIES = {"p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids}
+def p7_mixture(spark, sf_dir):
+    """(slot, source, copy_no, doc_id, n_tokens, at_token): the documents of the mixture in their order."""
+    return mix.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_plan"))
+
+
+def p7_shares(spark, sf_dir):
+    """One row per planned source: aimed and actual shares."""
+    return mix.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_plan"))
+
+
+def p8_sentences(spark, sf_dir):
+    """(doc_id, sent_no, start_at, end_at): every sentence with its number."""
+    docs = table(spark, sf_dir, "documents")
+    return sentences.split_sentences(docs, sentences.learn(docs))
+
+
+def p8_found(spark, sf_dir):
+    """(doc_id, start_at, end_at): one row per sentence."""
+    return p8_sentences(spark, sf_dir).select("doc_id", "start_at", "end_at")
+
+
+QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_sentences": p8_sentences}
 
 _LOOK_FROM, _LOOK_TO = "".join(canonical.LOOKALIKE_LETTERS), "".join(canonical.LOOKALIKE_LETTERS.values())
 _BLANK = "".join(canonical.BLANKS)
