@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import canonical, match, mix, pieces, sentences, tokenize
+from . import canonical, match, mix, overlap, pieces, sentences, tokenize
 from ..session import table
 
 
@@ -22,6 +22,17 @@ def p4_found(spark, sf_dir):
     return canonical.changed_forms(_values(spark, sf_dir)).select("tbl", "row_key", F.col("item_no").cast("int").alias("item_no")).distinct()
 
 
+def p1_found(spark, sf_dir):
+    """(rec_lo, rec_hi): pairs of a train record and a dev or test record that share most of their words."""
+    o = overlap.overlaps(table(spark, sf_dir, "unified"))
+    return o.select(F.least("t", "e").alias("rec_lo"), F.greatest("t", "e").alias("rec_hi")).distinct()
+
+
+def p1_report(spark, sf_dir):
+    """Overlapping records and pairs per evaluation split and source."""
+    return overlap.report(table(spark, sf_dir, "unified"))
+
+
 def p3_found(spark, sf_dir):
     """(out_id, concept_no, code): the entry that each typed diagnosis and drug means, or 'none'."""
     out = match.link_typed(*(table(spark, sf_dir, t) for t in ("out_docs", "icd_index", "rxnorm_index")))
@@ -70,7 +81,7 @@ def p8_found(spark, sf_dir):
     return p8_sentences(spark, sf_dir).select("doc_id", "start_at", "end_at")
 
 
-QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_sentences": p8_sentences}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_sentences": p8_sentences}
 
 _LOOK_FROM, _LOOK_TO = "".join(canonical.LOOKALIKE_LETTERS), "".join(canonical.LOOKALIKE_LETTERS.values())
 _BLANK = "".join(canonical.BLANKS)
