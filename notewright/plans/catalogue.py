@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import nested_queries
+from . import kb_queries, nested_queries
 
 FLAGSHIP = "p2_found"
 QUERIES: dict = {}
 SQL: dict = {}
-for _module in (nested_queries,):
+for _module in (nested_queries, kb_queries):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
