@@ -59,16 +59,17 @@ _FOREIGN = r"[\p{IsCyrillic}\p{IsGreek}]"
 _WORDS = r"[\p{L}\p{M}]+|[^\p{L}\p{M}]+"
 
 
-def compose(c: Column) -> Column:
-    """Canonical composition (NFC) in the JVM."""
+def compose(c: Column, given: Column | None = None) -> Column:
+    """Canonical composition (NFC) in the JVM. `given`: a plain column that is null where `c` is; saves
+    evaluating `c` twice."""
     done = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(c, F.lit("")), F.lit(False))
-    return F.when(c.isNotNull(), done)
+    return F.when((c if given is None else given).isNotNull(), done)
 
 
-def decompose(c: Column, compat: bool = False) -> Column:
-    """Canonical (NFD) or compatibility (NFKD) decomposition in the JVM."""
-    done = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), F.coalesce(c, F.lit("")), F.lit(compat))
-    return F.when(c.isNotNull(), done)
+def decompose(c: Column, given: Column | None = None) -> Column:
+    """Canonical decomposition (NFD) in the JVM; `given` as above."""
+    done = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), F.coalesce(c, F.lit("")), F.lit(False))
+    return F.when((c if given is None else given).isNotNull(), done)
 
 
 def is_dirty(c: Column) -> Column:
@@ -90,7 +91,7 @@ def lookalike_map(c: Column) -> Column:
 
 def form(c: Column) -> Column:
     """The consistent form of one value as a column: what the class's canonical member spells."""
-    return F.when(is_dirty(c), compose(lookalike_map(c))).otherwise(c)
+    return F.when(is_dirty(c), compose(lookalike_map(c), c)).otherwise(c)
 
 
 def classes(mapped: DataFrame) -> DataFrame:
