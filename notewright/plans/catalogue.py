@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import kb_queries, nested_queries
+from . import kb_queries, nested_queries, prep_queries, span_queries
 
-FLAGSHIP = "p2_found"
+FLAGSHIP = "ensemble_vote"
 QUERIES: dict = {}
 SQL: dict = {}
-for _module in (nested_queries, kb_queries):
+for _module in (nested_queries, kb_queries, span_queries, prep_queries):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
