@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions import tables as T
 from ..operators import semantic, spans
@@ -11,8 +12,9 @@ from ..session import broadcast_if_small, table
 
 
 def _records(spark, sf_dir):
-    """Records of unified, delivered twice once."""
-    return table(spark, sf_dir, "unified").dropDuplicates(["rec_id"])
+    """Records of unified, of those delivered twice the later one."""
+    w = W.partitionBy("rec_id").orderBy(F.desc("loaded_at"), "text")
+    return table(spark, sf_dir, "unified").withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
 
 
 def _gold(spark, sf_dir):
@@ -139,7 +141,7 @@ QUERIES = {
 
 # --- SQL --------------------------------------------------------------------------------------------------
 
-_REC = "rec AS (SELECT DISTINCT ON (rec_id) * FROM unified)"
+_REC = "rec AS (SELECT * FROM unified QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY loaded_at DESC, text) = 1)"
 
 
 def _scan(src: str, key: str, pattern: str, name: str) -> str:
