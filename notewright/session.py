@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,20 @@ def build(app: str = "notewright", cpus: str | int = "*", partitions: int = 8) -
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per context, so that workers find it wherever the driver runs."""
+    sc = spark.sparkContext
+    if getattr(sc, "_notewright_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="notewright-code-")) / "notewright.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._notewright_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share. The cluster names it in spark.checkpoint.dir; where that is
     unset, as in tests, a local folder is set."""
