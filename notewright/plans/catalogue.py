@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import kb_queries, nested_queries, prep_queries, span_queries
+from . import extract_queries, kb_queries, nested_queries, prep_queries, span_queries
 
 FLAGSHIP = "ensemble_vote"
 QUERIES: dict = {}
 SQL: dict = {}
-for _module in (nested_queries, kb_queries, span_queries, prep_queries):
+for _module in (nested_queries, kb_queries, span_queries, prep_queries, extract_queries):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL

@@ -155,3 +155,33 @@ def test_stream(spark, tmp_path):
 
 def test_fixed_values():
     assert len(T.ACCENTED) == len(T.PLAIN) == 134
+
+
+def test_extract(spark):
+    from notewright.operators import extract
+
+    text = "Bệnh nhân nam 70 tuổi, ho đờm xanh, được chẩn đoán mắc bệnh trào ngược dạ dày. Dùng Capsaicin 0.38 MG/ML, WBC:14,43; troponin 0.01"
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "k int, t string")
+    names = spark.createDataFrame([("capsaicin",)], "name string")
+    got = {(text[r.start : r.end], r.kind) for r in extract.extract(df, names, "k", "t").collect()}
+    assert got == {("ho đờm xanh", T.SYMPTOM), ("bệnh trào ngược dạ dày", T.DIAGNOSIS), ("Capsaicin 0.38 MG/ML", T.DRUG), ("WBC", T.TEST_NAME), ("14,43", T.TEST_VALUE), ("troponin", T.TEST_NAME), ("0.01", T.TEST_VALUE)}
+    seg = spark.createDataFrame([(1, "EF 3.5 abc"), (2, "a. b. c"), (3, "v.v. ho")], "k int, t string")
+    assert sorted((r.k, r.phrase) for r in extract.phrases(seg, "k", "t").collect()) == [(1, "abc"), (2, "a"), (2, "b"), (2, "c"), (3, "ho"), (3, "v")]
+
+
+def test_chain(spark):
+    import itertools
+    import math
+
+    import numpy as np
+
+    from notewright.operators import chain
+
+    rng = np.random.default_rng(2)
+    x, a, s, e = rng.normal(size=(4, 3)), rng.normal(size=(3, 3)), rng.normal(size=3), rng.normal(size=3)
+    df = spark.createDataFrame([(1, x.tolist()), (2, []), (3, None)], "k int, x array<array<double>>")
+    args = (a.tolist(), s.tolist(), e.tolist())
+    out = df.select("k", chain.viterbi(F.col("x"), *args).alias("p"), chain.log_partition(F.col("x"), *args).alias("z")).orderBy("k").collect()
+    score = {p: s[p[0]] + e[p[-1]] + sum(x[i, q] for i, q in enumerate(p)) + sum(a[q, r] for q, r in itertools.pairwise(p)) for p in itertools.product(range(3), repeat=4)}
+    assert tuple(out[0].p) == max(score, key=score.get) and math.isclose(out[0].z, math.log(sum(map(math.exp, score.values()))))
+    assert list(out[1].p) == [] and out[2].z == 0.0
