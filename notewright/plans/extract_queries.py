@@ -23,12 +23,10 @@ def phrase_classify(spark, sf_dir):
     return p.select("rec_id", "start", "end", extract.classify(F.col("phrase"))[0].alias("kind")).where("kind IS NOT NULL")
 
 
-def concepts(spark, sf_dir):
-    """Concepts of whole records with assertions and codes, by the whole rule pipeline."""
-    t = [table(spark, sf_dir, n) for n in ("drug_gazetteer", "icd_index", "rxnorm_index")]
-    c = extract.concepts(_records(spark, sf_dir).select("rec_id", "text").where("text IS NOT NULL"), *t, "rec_id", "text")
-    return c.withColumns({x: F.array_join(x, "|") for x in ("assertions", "candidates")})
+def extract_spans(spark, sf_dir):
+    """Drugs, lab pairs and phrases of whole records, stronger ones first. Linking them is `extract.concepts`."""
+    return extract.extract(_records(spark, sf_dir).select("rec_id", "text"), table(spark, sf_dir, "drug_gazetteer"), "rec_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (lab_colon, phrase_segments, phrase_classify, concepts)}
+QUERIES = {f.__name__: f for f in (lab_colon, phrase_segments, phrase_classify, extract_spans)}
 SQL = {"phrase_segments": f"WITH {_REC}, " + _scan("rec", "rec_id", r"[^\n;,]+", "seg") + " SELECT * FROM seg"}

@@ -202,7 +202,7 @@ SQL = {
     "sections": "WITH " + _scan("documents", "doc_id", spans.SECTION, "sc") + f" SELECT doc_id, start AS pos, regexp_replace(regexp_extract(match, '{spans.SECTION_PARTS}', 1), '^[{T.WS}]+|[{T.WS}]+$', '', 'g') AS title FROM sc",
     "section_asof": f"WITH {_REC}, {_GOLD}, {_SECS}, {_ASOF} SELECT rec_id, span_no, section FROM sec",
     "assertions": f"WITH {_REC}, {_GOLD}, {_SECS}, {_ASOF}, c AS (SELECT *, {_left(T.NEGATION_WINDOW)} AS l, {_left(T.PAST_WINDOW)} AS l2, {_FOLD.format('section')} AS ti FROM sec WHERE fine IS NOT NULL) "
-    f"""SELECT rec_id, span_no, {_neg()} AS neg, regexp_matches({_FOLD.format(f'substring(text, greatest(start - {T.FAMILY_WINDOW}, 0) + 1, "end" - greatest(start - {T.FAMILY_WINDOW}, 0))')}, '\\b(?:{"|".join(T.FAMILY_WORDS)})') AS fam, """
+    f"""SELECT rec_id, span_no, {_neg()} AS neg, regexp_matches({_FOLD.format(f'substring(text, greatest(start - {T.FAMILY_WINDOW}, 0) + 1, "end" - greatest(start - {T.FAMILY_WINDOW}, 0))')}, '(?:^|[^\\p{{L}}\\p{{N}}_])(?:{"|".join(T.FAMILY_WORDS)})') AS fam, """
     f"""(({_any('ti', T.PAST_TITLES)} AND NOT {_any('ti', T.PRESENT_TITLES)}) OR starts_with(regexp_replace({_FOLD.format(f'substring(text, "end" + 1, {T.PAST_AFTER})')}, '^[{T.WS}]+|[{T.WS}]+$', '', 'g'), 'cu') OR {_any('l2', T.PAST_CUES)}) AS hist FROM c""",
     "validate_concepts": f"""WITH {_REC}, {_GOLD}, e AS (SELECT unnest(list_filter([
       CASE WHEN fine IS NULL OR fine NOT IN ({_TYPES}) THEN 'type' END,
