@@ -22,6 +22,7 @@ def build(app: str = "notewright", cpus: str | int = "*", partitions: int = 8) -
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.unionOutputPartitioning", "false")
         .config("spark.driver.memory", os.environ.get("NOTEWRIGHT_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -31,6 +32,8 @@ def build(app: str = "notewright", cpus: str | int = "*", partitions: int = 8) -
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per context, so that workers find it wherever the driver runs."""
+    # a union of sides that are partitioned alike must still be shuffled: adaptive coalescing can part them
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     sc = spark.sparkContext
     if getattr(sc, "_notewright_shipped", False):
         return

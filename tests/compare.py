@@ -38,7 +38,7 @@ if __name__ == "__main__":
 
     spark = session.build()
     spark.sparkContext.setLogLevel("ERROR")
-    d = "/root/testdata/sf0.01"
+    d = __import__("os").environ.get("COMPARE_DIR", "/root/testdata/sf0.01")
     con = connect(d)
     names = sys.argv[1:] or list(entry.oracle_sql())
     for n in names:
