@@ -105,6 +105,28 @@ def test_overlap_against_brute_force(spark):
     assert overlap.overlaps(df.limit(0)).count() == 0
 
 
+def _found_pairs(spark, pairs):
+    """(found, by brute force) of (train text, held text) pairs of word lists."""
+    rows = [r for i, (a, b) in enumerate(pairs) for r in ((2 * i, "train", " ".join(a)), (2 * i + 1, ["dev", "test"][i % 2], " ".join(b)))]
+    df = spark.createDataFrame([(*r, "s") for r in rows], "rec_id bigint, split string, text string, source string")
+    return {(min(r.t, r.e), max(r.t, r.e)) for r in overlap.overlaps(df).collect()}, _bag_pairs(rows)
+
+
+def _texts(seed, sizes):
+    rng = np.random.default_rng(seed)
+    return [[f"w{k}" for k in rng.integers(0, 3000, n)] for n in sizes]
+
+
+def test_overlap_with_evenly_spread_edits(spark):
+    pairs = []
+    for words in _texts(11, (4, 7, 12, 20, 24, 40, 79, 80, 95, 130, 200, 400, 900)):
+        pairs.append((words, [w for i, w in enumerate(words) if i % 4 != 3]))
+        pairs.append((words, [x for i, w in enumerate(words) for x in ([w, f"new{i}"] if i % 3 == 2 else [w])]))
+    got, want = _found_pairs(spark, pairs)
+    assert len(want) >= 26 and got == want
+    assert all(overlap.least_windows(n) >= 1 for n in range(1, 2000))
+
+
 def test_match(spark):
     icd = spark.createDataFrame([("A10", "viem song toang len"), ("A10.0", "viem song toang len man tinh"), ("B11", "u sen hien nhoi")], "code string, key_vn string")
     rx = spark.createDataFrame([("1", "kelotusylbrine"), ("2", "kelotusylbrine sodium 0.4 mg/ml injectable solution"), ("3", "kelotusylbrine 10 mg")], "rxcui string, key string")
