@@ -127,6 +127,15 @@ def test_overlap_with_evenly_spread_edits(spark):
     assert all(overlap.least_windows(n) >= 1 for n in range(1, 2000))
 
 
+def test_overlap_in_a_hot_group(spark):
+    """Near-copies of one form, with every sixth word changed: all its windows of words are frequent."""
+    form = [f"form{i}" for i in range(60)]
+    copies = [[f"own{i}x{k}" if k % 6 == i % 6 else w for k, w in enumerate(form)] for i in range(300)]
+    got, want = _found_pairs(spark, list(zip(copies[::2], copies[1::2], strict=True)))
+    got_same, want_same = _found_pairs(spark, list(zip(copies[::6], copies[6::6], strict=False)))
+    assert len(want_same) > 2000 and got == want and got_same == want_same
+
+
 def test_match(spark):
     icd = spark.createDataFrame([("A10", "viem song toang len"), ("A10.0", "viem song toang len man tinh"), ("B11", "u sen hien nhoi")], "code string, key_vn string")
     rx = spark.createDataFrame([("1", "kelotusylbrine"), ("2", "kelotusylbrine sodium 0.4 mg/ml injectable solution"), ("3", "kelotusylbrine 10 mg")], "rxcui string, key string")
