@@ -136,6 +136,17 @@ def test_overlap_in_a_hot_group(spark):
     assert len(want_same) > 2000 and got == want and got_same == want_same
 
 
+def test_overlap_without_order(spark):
+    """Reordered records, and pairs of a short and a longer one with words inserted after every second one."""
+    rng = np.random.default_rng(5)
+    pairs = [(words, list(rng.permutation(words))[: len(words) - len(words) // 8]) for words in _texts(12, (5, 17, 18, 30, 60, 100, 500))]
+    for words in _texts(13, (13, 14, 15, 16, 17)):
+        more = int(len(words) / 0.7) - len(words)
+        pairs.append((words, [x for i, w in enumerate(words) for x in ([w, f"in{i}"] if i % 2 and i // 2 < more else [w])]))
+    got, want = _found_pairs(spark, pairs)
+    assert len(want) == len(pairs) and got == want
+
+
 def test_match(spark):
     icd = spark.createDataFrame([("A10", "viem song toang len"), ("A10.0", "viem song toang len man tinh"), ("B11", "u sen hien nhoi")], "code string, key_vn string")
     rx = spark.createDataFrame([("1", "kelotusylbrine"), ("2", "kelotusylbrine sodium 0.4 mg/ml injectable solution"), ("3", "kelotusylbrine 10 mg")], "rxcui string, key string")
