@@ -1,9 +1,10 @@
 """Problem 8: sentences across languages and scripts.
 
 Two passes over the corpus. The first counts, per language, each word with and without a final period, what
-follows the period, and how often the word begins a text unit; log-likelihood ratios over these counts give
-abbreviations, the collocations of an abbreviation with the kind of word after it, and sentence starters. No
-word list is given. The second pass finds the candidate ends of each text and classifies every period by
+follows the period, which capitalised word comes after which word with a period, and how often the word begins
+a text unit; log-likelihood ratios over these counts give abbreviations, sentence starters, and collocations of
+an initial with the word after it. The kind of word that follows an abbreviation is a class by fixed shares.
+No word list is given. A starter ends a sentence after an initial, unless both are a collocation. The second pass finds the candidate ends of each text and classifies every period by
 these statistics; scripts with their own end marks, or with none, follow their own rules.
 
 Rules beside the statistics: a blank line ends a unit and a single line break does not; a heading (a line of
@@ -17,13 +18,12 @@ proportion to their length.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -54,7 +54,7 @@ def language(lang: str | None) -> str:
 # --- first pass: counts -----------------------------------------------------------------------------------
 
 _COUNTS = ("plain", "dotted", "then_lower", "then_upper", "then_other", "starts", "closes")
-_COUNT_DDL = "lang string, word string, " + ", ".join(f"{c} bigint" for c in _COUNTS)
+_COUNT_DDL = "lang string, word string, after string, " + ", ".join(f"{c} bigint" for c in _COUNTS)
 
 
 def _kind(token: str) -> int:
@@ -88,8 +88,18 @@ def _pieces(token: str) -> list[str]:
     return [token[a:b] for a, b in zip([0, *(c + 1 for c in cuts)], [*(c + 1 for c in cuts), len(token)], strict=True)]
 
 
-def count_text(text: str, tokens_seen: Counter, into: dict[str, list[int]]) -> None:
-    """Add one text: its raw tokens to `tokens_seen`, what follows periods and what begins units to `into`."""
+def _pair(piece: str, following: str) -> tuple[str, str] | None:
+    """(word before a period, capitalised word after it); words that are no initials are one, ''."""
+    m = _WORD_AT.match(following.lstrip(_EDGE))
+    if m is None or not m.group()[0].isupper():
+        return None
+    word = _word(piece)
+    return (word if len(word) == 1 and word.isupper() else ""), m.group()
+
+
+def count_text(text: str, tokens_seen: Counter, into: dict[str, list[int]], pairs: Counter) -> None:
+    """Add one text: its raw tokens to `tokens_seen`, what follows periods and what begins units to `into`, the
+    words on both sides of periods to `pairs`."""
     for block in _BLANK_LINE.split(text):
         tokens = block.split()
         if not tokens or is_caseless(block):
@@ -103,12 +113,14 @@ def count_text(text: str, tokens_seen: Counter, into: dict[str, list[int]]) -> N
                 for k, piece in enumerate(pieces):
                     if piece[-1] == "." and piece[-2:-1] not in (".", ""):
                         row = into[_word(piece)]
-                        if k + 1 < len(pieces):
-                            row[_kind(pieces[k + 1])] += 1
-                        elif i < last:
-                            row[_kind(tokens[i + 1])] += 1
-                        else:
+                        following = pieces[k + 1] if k + 1 < len(pieces) else tokens[i + 1] if i < last else None
+                        if following is None:
                             row[6] += 1
+                        else:
+                            kind = _kind(following)
+                            row[kind] += 1
+                            if kind == 3 and (pair := _pair(piece, following)):
+                                pairs[pair] += 1
             elif raw[-1] in "!?" and i < last:
                 into[_word(tokens[i + 1])][5] += 1
 
@@ -132,34 +144,32 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found: dict[str, dict[str, list[int]]] = defaultdict(lambda: defaultdict(lambda: [0] * 7))
         seen: dict[str, Counter] = defaultdict(Counter)
+        pairs: dict[str, Counter] = defaultdict(Counter)
         for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             code = language(lang)
-            count_text(text, seen[code], found[code])
+            count_text(text, seen[code], found[code], pairs[code])
         for code, tokens in seen.items():
             finish(tokens, found[code])
-        rows = [(code, w, *c) for code, words in found.items() for w, c in words.items() if w and w[0].isalpha() and len(w) <= _TOKEN_MAX]
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 9
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i < 2 else pa.int64()) for i, c in enumerate(cols)], names=["lang", "word", *_COUNTS])
+        rows = [(code, w, "", *c) for code, words in found.items() for w, c in words.items() if w and w[0].isalpha() and len(w) <= _TOKEN_MAX]
+        # of a pair only its number counts: the word's capitals after the period
+        rows += [(code, w, after, 0, 0, 0, n, 0, 0, 0) for code, counted in pairs.items() for (w, after), n in counted.items() if len(after) <= _TOKEN_MAX and len(w) <= _TOKEN_MAX]
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 10
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i < 3 else pa.int64()) for i, c in enumerate(cols)], names=["lang", "word", "after", *_COUNTS])
 
 
 def word_counts(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """Counts per (lang, word) over all texts, pre-aggregated per batch before the shuffle. A hot word is
+    """Counts per (lang, word), `after` blank, and per pair (lang, word, after) over all texts, pre-aggregated per batch before the shuffle. A hot word is
     one row per batch, so no key is heavy. Written once: the statistics read it several times."""
     src = df.where(F.col(text).rlike(r"\S")).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    return cut(src.mapInArrow(_count, _COUNT_DDL).groupBy("lang", "word").agg(*(F.sum(c).alias(c) for c in _COUNTS)))
+    return cut(src.mapInArrow(_count, _COUNT_DDL).groupBy("lang", "word", "after").agg(*(F.sum(c).alias(c) for c in _COUNTS)))
 
 
-def _llr(k: float, n: float, p0: float) -> float:
-    """Log-likelihood ratio of k of n against the rate p0, signed by the direction."""
-    if n <= 0 or p0 <= 0 or p0 >= 1:
-        return 0.0
+def _llr(k: Column, n: Column, p0: Column) -> Column:
+    """Log-likelihood ratio of k of n against the rate p0 where k of n is more, else 0."""
     p = k / n
-    out = 0.0
-    if k:
-        out += k * math.log(p / p0)
-    if n - k:
-        out += (n - k) * math.log((1 - p) / (1 - p0))
-    return 2 * out if p >= p0 else -2 * out
+    up = F.when(k > 0, k * F.log(p / p0)).otherwise(0.0)
+    down = F.when(n > k, (n - k) * F.log((1 - p) / (1 - p0))).otherwise(0.0)
+    return F.when(p > p0, 2 * (up + down)).otherwise(0.0)
 
 
 def statistics(counts: DataFrame, least_llr: float = 12.0) -> DataFrame:
@@ -172,22 +182,17 @@ def statistics(counts: DataFrame, least_llr: float = 12.0) -> DataFrame:
     the start of units, of all its uses in either case, is far above the language's. Texts whose case says
     nothing are not counted.
     """
+    counts = counts.where("after = ''")
     pooled = counts.groupBy("word").agg(*(F.sum(c).alias(c) for c in _COUNTS)).withColumn("lang", F.lit(POOLED))
     every = counts.where(F.col("lang") != POOLED).unionByName(pooled, allowMissingColumns=True)
     total = every.groupBy("lang").agg(F.sum("plain").alias("N0"), F.sum("dotted").alias("N1"), F.sum("starts").alias("NS"))
     n, k, s = F.col("plain") + F.col("dotted"), F.col("dotted"), F.col("starts")
 
-    def llr(k, n, p0):
-        p = k / n
-        up = F.when(k > 0, k * F.log(p / p0)).otherwise(0.0)
-        down = F.when(n > k, (n - k) * F.log((1 - p) / (1 - p0))).otherwise(0.0)
-        return F.when(p > p0, 2 * (up + down)).otherwise(0.0)
-
     rate = F.greatest((F.col("N1") + 1) / (F.col("N0") + F.col("N1") + 2), F.lit(1e-4))
     start_rate = F.greatest((F.col("NS") + 1) / (F.col("N0") + F.col("N1") + 2), F.lit(1e-4))
     inner = F.col("word").rlike(r"\p{L}\.\p{L}")
     tight = F.when(F.length("word") <= 4, 0.5).otherwise(0.9)
-    dotted = F.when(inner, k * 2 >= n).otherwise((F.length("word") <= 8) & (k >= n * tight) & (llr(k.cast("double"), n.cast("double"), rate) >= least_llr))
+    dotted = F.when(inner, k * 2 >= n).otherwise((F.length("word") <= 8) & (k >= n * tight) & (_llr(k.cast("double"), n.cast("double"), rate) >= least_llr))
     after = F.col("then_lower") + F.col("then_upper") + F.col("then_other")
     follows = (
         F.when(F.col("then_lower") * 20 >= after, "lower").when(F.col("then_upper") * 2 >= after, "name").otherwise("number")
@@ -195,15 +200,33 @@ def statistics(counts: DataFrame, least_llr: float = 12.0) -> DataFrame:
     abbreviation = dotted & ((follows == "lower") | (F.col("closes") * 33 < k))
     used = F.sum(n).over(W.partitionBy("lang", F.lower("word")))
     every = every.withColumn("used", used)
-    starter = F.col("word").rlike(r"^\p{Lu}") & (s * 4 >= F.col("used")) & (llr(s.cast("double"), n.cast("double"), start_rate) >= least_llr)
+    starter = F.col("word").rlike(r"^\p{Lu}") & (s * 4 >= F.col("used")) & (_llr(s.cast("double"), n.cast("double"), start_rate) >= least_llr)
     scored = every.join(F.broadcast(total), "lang").select("lang", "word", abbreviation.alias("abbreviation"), follows.alias("follows"), starter.alias("starter"))
     return scored.where("abbreviation OR starter")
 
 
+def collocations(counts: DataFrame, scored: DataFrame, least_llr: float = 7.88) -> DataFrame:
+    """(lang, word, after): the starters that come after an initial far more often than after the language's
+    other periods, by LLR and twentyfold, and more than once: names that also begin sentences."""
+    pairs = counts.where("after <> ''").select("lang", "word", "after", F.col("then_upper").alias("k"))
+    pooled = pairs.groupBy("word", "after").agg(F.sum("k").alias("k")).select(F.lit(POOLED).alias("lang"), "word", "after", "k")
+    every = pairs.where(F.col("lang") != POOLED).unionByName(pooled)
+    of_after = every.groupBy("lang", "after").agg(F.sum("k").alias("n_after"))
+    of_word = every.groupBy("lang", "word").agg(F.sum("k").alias("n_word"))
+    of_lang = every.groupBy("lang").agg(F.sum("k").alias("n_lang"))
+    starters = F.broadcast(scored.where("starter").select("lang", F.col("word").alias("after")))
+    rated = every.where("word <> '' AND k > 1").join(starters, ["lang", "after"], "left_semi").join(of_word, ["lang", "word"]).join(of_after, ["lang", "after"]).join(F.broadcast(of_lang), "lang")
+    rate = (F.col("n_after") - F.col("k") + 1) / (F.col("n_lang") - F.col("n_word") + 2)
+    k, n = F.col("k").cast("double"), F.col("n_word").cast("double")
+    return rated.where((k >= 20 * rate * n) & (_llr(k, n, rate) >= least_llr)).select("lang", "word", "after")
+
+
 class Model:
-    """The significant words by language. Its size is bounded by the languages' abbreviations and starters."""
+    """The significant words by language. Its size is bounded by the languages' abbreviations, starters and
+    collocations."""
 
-    def __init__(self, rows):
+    def __init__(self, rows, pairs=()):
+        self.pairs = {(lang, word.lower(), after.lower()) for lang, word, after in pairs}
         self.abbreviations: dict[str, dict[str, str]] = defaultdict(dict)
         self.starters: dict[str, set[str]] = defaultdict(set)
         for lang, word, abbreviation, follows, starter in rows:
@@ -225,6 +248,9 @@ class Model:
             got = self.folded.get(lang, {}).get(word.lower())
         return got
 
+    def collocated(self, lang: str, word: str, after: str) -> bool:
+        return (lang if lang in self.starters else POOLED, word.lower(), after.lower()) in self.pairs
+
     def starts(self, lang: str, word: str, caseless: bool) -> bool:
         if caseless:
             return word.lower() in self.low_starters.get(lang if lang in self.low_starters else POOLED, ())
@@ -422,6 +448,8 @@ class Splitter:
             return True
         if lower or digit:
             return False
+        if initial and head and self.model.starts(code, head, caseless):
+            return not self.model.collocated(code, word, head)
         if follows == "lower":
             return not caseless or self.model.starts(code, head, True)
         if follows == "number" and upper:
@@ -453,8 +481,10 @@ def _split(model: Model):
 
 
 def learn(df: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """The model of a corpus. Only significant words reach the driver: abbreviations and starters."""
-    return Model(statistics(word_counts(df, text, lang)).toLocalIterator())
+    """The model of a corpus. Only significant words reach the driver: abbreviations, starters and collocations."""
+    counts = word_counts(df, text, lang)
+    scored = cut(statistics(counts))
+    return Model(scored.toLocalIterator(), collocations(counts, scored).toLocalIterator())
 
 
 def split_sentences(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

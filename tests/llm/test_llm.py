@@ -187,6 +187,22 @@ def test_mixture(spark):
     assert mix.mixture(docs.limit(0), plan).count() == 0
 
 
+def test_starters_and_collocations(spark):
+    """A starter ends a sentence after a single capital; a name does not, even one that often begins a unit."""
+    base = [f"The patient has a cough {w}. The lungs are clear {w}. Seen by J. Miller on day {w}. Seen by K. Brown {w}.\n\nMiller saw it {w}.\n\nThe visit {w} ended." for w in ("one", "two", "three", "four", "five", "six") for _ in range(8)]
+    cases = [
+        ("She takes vitamin C. The patient is well.", ["She takes vitamin C.", "The patient is well."]),
+        ("Seen by J. Miller again.", ["Seen by J. Miller again."]),
+        ("He has hepatitis B. Miller saw it.", ["He has hepatitis B.", "Miller saw it."]),
+        ("Seen by K. Brown again.", ["Seen by K. Brown again."]),
+    ]
+    rows = [(i, t, "en") for i, (t, _) in enumerate(cases)] + [(100 + i, t, "en") for i, t in enumerate(base)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    splitter = sentences.Splitter(sentences.learn(df))
+    for text, want in cases:
+        assert [text[s:e] for s, e in splitter.split(text, "en")] == want
+
+
 def test_sentences(spark):
     base = [f"BS. Lan khám, thấy ho {w}. Ăn uống kém, v.v. nên cần nghỉ {w}. Liều 3.5 mg, tăng {w} dần.\n\nKhám tại TP. Vinh, hẹn {w} lại." for w in ("a", "hai", "ba", "bốn", "năm", "sáu") for _ in range(8)]
     cases = [
