@@ -17,7 +17,10 @@ def _block(ids: np.ndarray, q: np.ndarray, k: int):
             col = b.column(1)
             m = col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1).astype(np.float64)
             rows = b.column(0).to_numpy()
+            by_id = np.argsort(rows, kind="stable")
+            rows, m = rows[by_id], m[by_id]
             s = q @ m.T
+            s = np.copysign(np.floor(np.abs(s) * 1e6 + 0.5) / 1e6, s)  # ties are ties of the rounded score
             top = np.argsort(-s, axis=1, kind="stable")[:, : min(k, s.shape[1])]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.repeat(ids, top.shape[1])), pa.array(rows[top].reshape(-1)), pa.array(np.take_along_axis(s, top, 1).reshape(-1))],
@@ -29,7 +32,8 @@ def _block(ids: np.ndarray, q: np.ndarray, k: int):
 
 def cosine_topk(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int = 5, block: int = 1000) -> DataFrame:
     """(query, id, score, rank): the k rows of unit vectors closest to each query, itself left out. Queries go
-    in blocks of a bounded size; each batch of rows gives at most k + 2 per query before the shuffle. Rows with
+    in blocks of a bounded size; each batch of rows gives at most k + 1 per query before the shuffle,
+    by the score rounded to six digits. Rows with
     null vectors are left out; ties go to the smaller id."""
     queries = queries.where(F.col(vector).isNotNull())
     found = None
@@ -37,7 +41,7 @@ def cosine_topk(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: i
 
     def flush(found):
         ids, q = np.array([r[0] for r in buffer]), np.array([r[1] for r in buffer], np.float64)
-        part = rows.where(F.col(vector).isNotNull()).select(key, vector).mapInArrow(_block(ids, q, k + 2), "query bigint, id bigint, score double")
+        part = rows.where(F.col(vector).isNotNull()).select(key, vector).mapInArrow(_block(ids, q, k + 1), "query bigint, id bigint, score double")
         return part if found is None else found.unionByName(part)
 
     for r in queries.select(key, vector).toLocalIterator():

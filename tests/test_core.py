@@ -112,6 +112,13 @@ def test_cosine(spark):
     assert semantic.cosine_topk(df.limit(0), df, "id", "v").count() == 0
 
 
+def test_topk_of_copies(spark):
+    """Copies and near ties in a batch not sorted by id: the smaller ids come out."""
+    df = spark.createDataFrame([(i, [1.0, 1e-9 * i]) for i in range(30, -1, -1)], "id bigint, v array<double>").coalesce(1)
+    got = semantic.cosine_topk(df.where("id = 7"), df, "id", "v", 3).orderBy("rank").collect()
+    assert [(r.id, r.score) for r in got] == [(0, 1.0), (1, 1.0), (2, 1.0)]
+
+
 def test_nested(spark):
     rows = [
         (1, '{"text":"a","spans":[{"start":0,"end":1,"text":"a","assertions":"isNegated","candidates":["X",null,"","Y"]},null,{"start":0,"end":1}]}'),
