@@ -85,26 +85,20 @@ def _text(value) -> str | None:
     return json.dumps(value, ensure_ascii=False)
 
 
-def items(root, depth: int = 0) -> list:
-    """The spans or concepts of a record in order of appearance, null ones kept for their number."""
-    if depth > 40 or root is None:
-        return []
-    if isinstance(root, list):
-        out = []
-        for x in root:
-            if isinstance(x, dict) and state(x, 1) in (SECTION, RECORD, NOTE):
-                out += items(x, depth + 1)
-            else:
-                out.append(x if isinstance(x, dict) and x else None)
-        return out
-    if not isinstance(root, dict):
-        return []
-    out = []
-    for key, value in root.items():
-        if key in ITEM_KEYS or key == "sections":
-            out += items(_listed(value), depth + 1)
-        elif key == "note":
-            out += items(value, depth + 1)
+def items(root) -> list:
+    """The spans or concepts of a record in order of appearance, null ones kept for their number. The tree is
+    walked with a stack, to any depth."""
+    out: list = []
+    stack = [(root, False)]  # node, whether it is an item
+    while stack:
+        node, item = stack.pop()
+        if item:
+            out.append(node if isinstance(node, dict) and node else None)
+        elif isinstance(node, list):
+            stack += [(x, not (isinstance(x, dict) and state(x, 1) in (SECTION, RECORD, NOTE))) for x in reversed(node)]
+        elif isinstance(node, dict):
+            inner = [(value if key == "note" else _listed(value), False) for key, value in node.items() if key in ITEM_KEYS or key in ("sections", "note")]
+            stack += reversed(inner)
     return out
 
 

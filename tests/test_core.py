@@ -119,6 +119,14 @@ def test_topk_of_copies(spark):
     assert [(r.id, r.score) for r in got] == [(0, 1.0), (1, 1.0), (2, 1.0)]
 
 
+def test_items_at_any_depth():
+    root = {"sections": [{"title": "t", "spans": [{"start": 1}, None]}]}
+    for k in range(300):
+        root = {"sections": [{"title": str(k), "spans": [{"start": -k}]}, root]}
+    got = nested.items(root)
+    assert [x and x["start"] for x in got] == [*range(-299, 1), 1, None]
+
+
 def test_nested(spark):
     rows = [
         (1, '{"text":"a","spans":[{"start":0,"end":1,"text":"a","assertions":"isNegated","candidates":["X",null,"","Y"]},null,{"start":0,"end":1}]}'),
