@@ -33,6 +33,12 @@ def p1_report(spark, sf_dir):
     return overlap.report(table(spark, sf_dir, "unified"))
 
 
+def p1_spans(spark, sf_dir):
+    """(train_id, eval_id, t_start, e_start, length): the merged matches of each pair that is not a copy, in words."""
+    o = overlap.overlaps(table(spark, sf_dir, "unified"), with_spans=True)
+    return o.select(F.col("t").alias("train_id"), F.col("e").alias("eval_id"), F.inline("spans"))
+
+
 def p3_found(spark, sf_dir):
     """(out_id, concept_no, code): the entry that each typed diagnosis and drug means, or 'none'."""
     out = match.link_typed(*(table(spark, sf_dir, t) for t in ("out_docs", "icd_index", "rxnorm_index")))
@@ -81,7 +87,7 @@ def p8_found(spark, sf_dir):
     return p8_sentences(spark, sf_dir).select("doc_id", "start_at", "end_at")
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_sentences": p8_sentences}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_spans": p1_spans, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_sentences": p8_sentences}
 
 _LOOK_FROM, _LOOK_TO = "".join(canonical.LOOKALIKE_LETTERS), "".join(canonical.LOOKALIKE_LETTERS.values())
 _BLANK = "".join(canonical.BLANKS)

@@ -59,14 +59,50 @@ def test_pieces(spark):
 
 
 def test_fm_index():
+    """Each match is as long as any to the left of its end can be, matches cover all that the text holds, and
+    none crosses a record."""
     rng = np.random.default_rng(5)
-    w = rng.integers(0, 6, (400, 3))
-    index = fmindex.FMIndex(w)
-    q = rng.integers(0, 8, (200, 3))
-    hit, low, high = index.search(q)
-    query, window = index.locate(low, high)
-    got = sorted(zip(hit[query].tolist(), window.tolist(), strict=True))
-    assert got == sorted((i, j) for i in range(200) for j in range(400) if (q[i] == w[j]).all())
+    for size in (1, 3, 40, 400):
+        offsets = np.unique(np.append(rng.integers(0, size, size // 7), [0, size]))
+        w = rng.integers(0, 5, size)
+        index = fmindex.FMIndex(w, offsets)
+        records = ["".join(map(str, w[a:z])) for a, z in zip(offsets, offsets[1:], strict=False)]
+        text = "|".join(records) + "|"
+        lens = rng.integers(0, 30, 50)
+        q = rng.integers(0, 7, lens.sum())
+        cuts = np.append(0, np.cumsum(lens))
+        pattern, start, length, place = index.maximal_matches(q, cuts)
+        for k in range(50):
+            mine = "".join(map(str, q[cuts[k] : cuts[k + 1]]))
+            got = sorted((int(s), int(n), int(p)) for j, s, n, p in zip(pattern, start, length, place, strict=True) if j == k)
+            want, i = [], len(mine)
+            while i > 0:
+                n = 0
+                while n < i and mine[i - n - 1 : i] in text:
+                    n += 1
+                if n:
+                    want.append((i - n, n))
+                i -= max(n, 1)
+            assert [x[:2] for x in got] == sorted(want)
+            assert all(text[p : p + n] == mine[s : s + n] for s, n, p in got)
+    assert not len(fmindex.FMIndex(np.zeros(0, int), np.zeros(1, int)).maximal_matches(np.arange(3), np.array([0, 3]))[0])
+
+
+def test_spans():
+    """The spans of a pair, found in pieces and merged, lie in the pair's own evaluation text."""
+    rng = np.random.default_rng(6)
+    e = [rng.integers(0, 50, n) for n in (700, 40, 0)]
+    t = [np.concatenate([e[0][100:650], [99], e[0][:50]]), e[1][10:30], e[0], e[1]]
+    e_of = np.array([0, 1, 1, 2])
+    cut = lambda x: np.append(0, np.cumsum([len(v) for v in x]))
+    pair, t_start, e_start, length = overlap.spans_of(np.concatenate(t), cut(t), np.concatenate(e), cut(e), e_of)
+    for k in range(4):
+        covered = np.zeros(len(t[k]), bool)
+        for a, b, n in zip(*(x[pair == k] for x in (t_start, e_start, length)), strict=True):
+            assert (t[k][a : a + n] == e[e_of[k]][b : b + n]).all()
+            covered[a : a + n] = True
+        assert (covered == np.isin(t[k], e[e_of[k]])).all()
+    assert max(length[pair == 0]) >= 500 and (pair == 0).sum() <= 4 and (pair == 3).sum() == 0
 
 
 def _bag_pairs(rows):
@@ -124,7 +160,10 @@ def test_overlap_with_evenly_spread_edits(spark):
         pairs.append((words, [x for i, w in enumerate(words) for x in ([w, f"new{i}"] if i % 3 == 2 else [w])]))
     got, want = _found_pairs(spark, pairs)
     assert len(want) >= 26 and got == want
-    assert all(overlap.least_windows(n) >= 1 for n in range(1, 2000))
+    for n in range(1, 400):  # an anchor is left in common, however the words that differ are placed
+        partners = np.arange(int(np.ceil(0.7 * n - 1e-9)), int(n / 0.7 + 1e-9) + 1)
+        common = overlap._least_common(n + partners, 0.7)
+        assert ((n - common < overlap.anchors_of(np.array([n]))) | (common > np.minimum(n, partners))).all()
 
 
 def test_overlap_in_a_hot_group(spark):
@@ -136,6 +175,20 @@ def test_overlap_in_a_hot_group(spark):
     assert len(want_same) > 2000 and got == want and got_same == want_same
 
 
+def test_overlap_of_split_anchors(spark):
+    """Frequent anchors split over a grid of shards give the same pairs, with spans and copies."""
+    form = [f"form{i}" for i in range(40)]
+    rows = [(i, ["train", "dev", "train"][i % 3], " ".join(f"own{i}x{k}" if k % 7 == i % 7 else w for k, w in enumerate(form))) for i in range(150)]
+    rows += [(1000, "train", "b a c"), (1001, "test", "a b c"), (1002, "test", "B, a c!")]
+    df = spark.createDataFrame([(*r, "s") for r in rows], "rec_id bigint, split string, text string, source string")
+    got = overlap.overlaps(df, hot=5, work=20, with_spans=True).collect()
+    assert {(min(r.t, r.e), max(r.t, r.e)) for r in got} == _bag_pairs([(i, s, t.lower().replace(",", "").replace("!", "")) for i, s, t in rows])
+    assert len({(r.t, r.e) for r in got}) == len(got)
+    assert {r.e: (r.exact, r.spans) for r in got if r.t == 1000} == {1001: (False, None), 1002: (True, None)}
+    assert all(sum(s.length for s in r.spans) == r.covered and len(r.spans) == r.n_spans and max(s.length for s in r.spans) == r.longest for r in got if r.t < 1000)
+    assert overlap.report(df).where("n_pairs > 0").count() == 2
+
+
 def test_overlap_without_order(spark):
     """Reordered records, and pairs of a short and a longer one with words inserted after every second one."""
     rng = np.random.default_rng(5)
