@@ -22,8 +22,25 @@ ASSERTIONS = ("isNegated", "isFamily", "isHistorical")
 CODED_TYPES = (DIAGNOSIS, DRUG)
 ASSERTED_TYPES = (DIAGNOSIS, DRUG, SYMPTOM)
 
-# Ranks of drug term types for the preferred name, lowest first.
-TTY_RANK = ("IN", "PIN", "BN", "SCD", "SBD", "SCDC", "SY")
+# Drug term types that are kept, in the order of preference for a code's name.
+TTY_RANK = (
+    "SCD", "SBD", "SCDC", "SBDC", "GPCK", "BPCK", "SCDF", "SBDF", "SCDG", "SBDG",
+    "MIN", "IN", "PIN", "BN", "PSN", "TMSY", "SY", "SCDGP", "SBDFP", "SCDFP",
+)
+
+# Names that are no drugs in running text.
+NOT_DRUGS = ("water", "air", "oxygen", "alcohol", "starch", "glucose", "honey", "menthol", "camphor", "caffeine")
+
+# Headings of notes as keys, which are no concepts.
+HEADINGS = (
+    "tien su benh", "tien su benh noi khoa", "tien su benh ly", "tien su benh hien tai", "tien su phau thuat thu thuat", "tien su phau thuat", "benh su", "benh su hien tai",
+    "cac benh ly man tinh", "cac benh ly nen", "cac yeu to nguy co lien quan", "yeu to nguy co", "thuoc truoc khi nhap vien", "thuoc truoc khi nhap vien lan nay", "trieu chung hien tai",
+    "cac trieu chung hien tai", "dac diem trieu chung", "ly do nhap vien", "ly do vao vien", "thoi diem khoi phat trieu chung", "danh gia tai benh vien", "ket qua kham lam sang",
+    "ket qua xet nghiem", "ket qua chan doan hinh anh", "ket qua hinh anh", "cac su kien truoc khi nhap vien", "cac dien bien truoc khi nhap vien", "cac ket qua chan doan khac",
+    "cac phat hien chan doan khac", "thu thuat thuc hien", "cac thu thuat da thuc hien", "tinh trang truoc nhap vien", "trieu chung khi nhap vien", "dien bien benh", "kham lam sang",
+    "can lam sang", "vi tri", "muc do nghiem trong", "thoi gian", "tan suat", "chieu xa", "cac yeu to lam nang them", "cac yeu to lam giam", "cac trieu chung lien quan",
+    "dau hieu sinh ton", "chua phat hien benh ly bat thuong", "cac tap kinh lam sang truoc day", "dien bien", "tinh trang", "dieu tri", "chan doan",
+)
 
 # Negation cues in the order they are tried, and words after a cue that undo it.
 NEGATION_CUES = (

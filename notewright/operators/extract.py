@@ -77,7 +77,7 @@ def phrases(df: DataFrame, key: str, text: str) -> DataFrame:
     return p.select(key, (F.col("base") + F.col("off")).cast("int").alias("start"), (F.col("base") + F.col("off") + F.length("phrase")).cast("int").alias("end"), "phrase")
 
 
-def classify(phrase: Column, headers: tuple[str, ...] = ()) -> tuple[Column, Column]:
+def classify(phrase: Column, headers: tuple[str, ...] = T.HEADINGS) -> tuple[Column, Column]:
     """(kind or null, words that lead to the name) of a phrase."""
     raw = X.norm_key(phrase)
     lead = F.regexp_extract(raw, LEAD, 0)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tables as T
 from ..functions import text as X
+from ..session import broadcast_if_small
 
 
 def keep_codes(icd: DataFrame) -> DataFrame:
@@ -48,7 +49,7 @@ def preferred(rx: DataFrame, ranks: tuple[str, ...] = T.TTY_RANK) -> DataFrame:
     return rx.groupBy("rxcui").agg(F.min(F.struct(rank.alias("r"), F.col("str").alias("name")))["name"].alias("name"))
 
 
-def dictionary(rx: DataFrame, kinds: tuple[str, ...] = ("IN", "PIN", "MIN", "BN"), least: int = 4, blanks: int = 5, stop: tuple[str, ...] = ()) -> DataFrame:
+def dictionary(rx: DataFrame, kinds: tuple[str, ...] = ("IN", "PIN", "MIN", "BN"), least: int = 4, blanks: int = 5, stop: tuple[str, ...] = T.NOT_DRUGS) -> DataFrame:
     """(name, n_chars): names for text scans, longest first."""
     k = F.col("key")
     keep = F.col("tty").isin(*kinds) & (F.length(k) >= least) & (F.length(k) - F.length(F.replace(k, F.lit(" "), F.lit(""))) <= blanks)
@@ -62,3 +63,29 @@ def names(icd: DataFrame, rx: DataFrame) -> DataFrame:
     i = icd.select(F.col("code"), F.explode(F.array("vn", "en")).alias("name")).select(F.lit("icd").alias("kb"), "name", "code")
     r = rx.select(F.lit("rxnorm").alias("kb"), F.col("str").alias("name"), F.col("rxcui").alias("code"))
     return i.unionByName(r).where("name <> ''").distinct()
+
+
+def indexes(icd: DataFrame, rx: DataFrame) -> dict[str, DataFrame]:
+    """The tables that linking reads, by name."""
+    return {
+        "icd_entries": keep_codes(icd), "icd_exact": exact_index(icd_pairs(icd), "key", "code"), "icd_children": children(icd),
+        "rx_exact": exact_index(rx.select("key", "rxcui"), "key", "rxcui"), "rx_relaxed": relaxed_index(rx), "rx_preferred": preferred(rx), "dictionary": dictionary(rx), "names": names(icd, rx),
+    }
+
+
+def write_indexes(icd: DataFrame, rx: DataFrame, folder: str, version: str) -> None:
+    """Write the index tables under folder/version; a version that is there is left as it is, so an index never
+    outlives the knowledge base that it was built from."""
+    for name, df in indexes(icd, rx).items():
+        df.write.mode("ignore").parquet(f"{folder}/{version}/{name}")
+
+
+def with_names(df: DataFrame, names: DataFrame, code: str = "code") -> DataFrame:
+    """`df` with `name`: the preferred name (code, name) of its code, '' where there is none."""
+    known = broadcast_if_small(names.select(F.col("code").alias(code), "name"))
+    return df.join(known, code, "left").withColumn("name", F.coalesce("name", F.lit("")))
+
+
+def icd_names(icd: DataFrame) -> DataFrame:
+    """(code, name): the Vietnamese name, else the English one; of several the first in order."""
+    return icd.groupBy("code").agg(F.coalesce(F.min(F.when(F.col("vn") != "", F.col("vn"))), F.min(F.when(F.col("en") != "", F.col("en")))).alias("name"))

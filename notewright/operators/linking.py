@@ -1,7 +1,13 @@
-"""Entity linking: exact, hierarchy and relaxed look-ups, then trigram similarity for the misses only.
+"""Entity linking: exact, hierarchy and relaxed look-ups, then a similarity join for the misses only.
 
 Every code that comes out exists in the knowledge base. Each stage sees only what the stage before left over
 (left-anti), so the costly join runs on misses. Ties are broken by code, so results do not depend on order.
+
+The similarity join needs no cap on candidates: a score at the threshold needs so many words in common, by an
+upper bound of the score, that only a mention's few rarest words have to be looked up (`least_shared`). Reports
+without a threshold (`explain`) rank the entries that share most trigrams instead.
+
+Null and empty keys are no mentions; repeated mentions and entries count once; an empty side gives no matches.
 """
 
 from __future__ import annotations
@@ -74,21 +80,68 @@ def similarity(key: Column, ekey: Column, g: Column, h: Column, t: Column, u: Co
     return 0.40 * jaccard + 0.22 * dice + 0.18 * contain + 0.12 * sub + 0.08 * cover
 
 
-def link_fuzzy(mentions: DataFrame, entries: DataFrame, threshold: float, topk: int = 3, salts: bool = False, cap: int = 400, hot: int = 8000) -> DataFrame:
-    """(key, code, score, rank): the best codes of each mention key by similarity, the highest score of a code
-    counting. `entries` has (key, code); with `salts`, keys equal without salts get 0.15 more."""
-    c = trigram_candidates(mentions, entries, cap, hot).join(features(mentions, "key", "g", "t"), "key")
-    c = c.join(broadcast_if_small(features(entries.withColumnRenamed("key", "ekey"), "ekey", "h", "u")), "ekey")
-    score = similarity(*(F.col(x) for x in ("key", "ekey", "g", "h", "t", "u")))
+def _bound(b: float, q: float, t: float, jaccard: float = 1.0, sub: float = 1.0) -> float:
+    return 0.40 * jaccard + 0.44 * b / (q + t) + 0.08 * b / q + (0.18 if b == q else 0.0) + 0.12 * sub
+
+
+def least_shared(q: int, threshold: float) -> int:
+    """The least number of a mention's `q` words that an entry at the threshold holds. A place inside the entry's
+    name takes all words but the outer two."""
+    fits = (b for b in range(1, q + 1) if _bound(b, q, b, sub=1.0 if b >= q - 2 else 0.0) >= threshold - 1e-6)
+    return next(fits, q + 1)
+
+
+def _looked_up(words: Column, threshold: float, longest: int = 128) -> Column:
+    """How many of a mention's rarest words must be looked up; all where a mention is longer than `longest`."""
+    if 0.40 + 0.12 >= threshold:
+        raise ValueError("a threshold of 0.52 or less can be reached without a word in common")
+    table = F.array(*(F.lit(max(0, q - least_shared(q, threshold) + 1)) for q in range(longest + 1)))
+    return F.coalesce(F.get(table, F.size(words)), F.size(words))
+
+
+def similar(mentions: DataFrame, entries: DataFrame, threshold: float, salts: bool = False) -> DataFrame:
+    """(key, ekey, score) of all mention keys and entry keys with a similarity of at least `threshold`. With
+    `salts`, keys that are equal without salts get 0.15 more."""
+    m = features(mentions.where("key <> ''"), "key", "g", "t")
+    e = features(entries.where("key <> ''").select(F.col("key").alias("ekey")), "ekey", "h", "u")
+    count = broadcast_if_small(e.select(F.explode("u").alias("w")).groupBy("w").agg(F.count("*").alias("df")))
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w")))
+    rare = m.select("key", F.explode("t").alias("w")).join(count, "w", "left").groupBy("key").agg(F.transform(order, lambda x: x["w"]).alias("t"))
+    rare = rare.select("key", "t", X.char_ngrams(F.col("key")).alias("g"), F.posexplode(F.slice("t", F.lit(1), _looked_up(F.col("t"), threshold))).alias("pos", "w"))
+    pairs = rare.join(broadcast_if_small(e.select("ekey", "h", "u", F.explode("u").alias("w"))), "w")
+    # a pair is made at its first word in common
+    pairs = pairs.where((F.col("pos") == 0) | ~F.arrays_overlap(F.slice("t", F.lit(1), F.col("pos")), F.col("u")))
+    c = [F.col(x) for x in ("key", "ekey", "g", "h", "t", "u")]
+    both, q, n = F.size(F.array_intersect("t", "u")), F.size("t"), F.size("u")
+    most = 0.40 * F.least(F.size("g"), F.size("h")) / F.greatest(F.size("g"), F.size("h")) + 0.44 * both / (q + n) + 0.08 * both / q + F.when(both == q, 0.18).otherwise(0.0) + F.when(c[1].contains(c[0]), 0.12).otherwise(0.0)
+    found = pairs.where(most >= threshold - 1e-6).select("key", "ekey", F.round(similarity(*c), 6).alias("score"))
     if salts:
-        score = score + F.when(X.strip_salts(F.col("key")) == X.strip_salts(F.col("ekey")), 0.15).otherwise(0.0)
-    c = c.withColumn("score", F.round(score, 6)).where(F.col("score") >= threshold)
+        bare = lambda df, k: df.withColumn("bare", X.strip_salts(F.col(k)))
+        same = bare(m, "key").join(broadcast_if_small(bare(e, "ekey")), "bare")
+        found = found.unionByName(same.select("key", "ekey", F.round(similarity(*c) + 0.15, 6).alias("score"))).groupBy("key", "ekey").agg(F.max("score").alias("score"))
+    return found.where(F.col("score") >= threshold)
+
+
+def _best_codes(scored: DataFrame, entries: DataFrame, topk: int) -> DataFrame:
     codes = broadcast_if_small(entries.select(F.col("key").alias("ekey"), "code").distinct())
-    best = c.join(codes, "ekey").groupBy("key", "code").agg(F.max("score").alias("score"))
+    best = scored.join(codes, "ekey").groupBy("key", "code").agg(F.max("score").alias("score"))
     w = W.partitionBy("key").orderBy(F.desc("score"), "code")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= topk)
 
 
+def link_fuzzy(mentions: DataFrame, entries: DataFrame, threshold: float, topk: int = 3, salts: bool = False) -> DataFrame:
+    """(key, code, score, rank): the best codes of each mention key by similarity, the highest score of a code
+    counting. `entries` has (key, code)."""
+    return _best_codes(similar(mentions, entries, threshold, salts), entries, topk)
+
+
+def closest(mentions: DataFrame, entries: DataFrame, cap: int = 400, hot: int = 8000) -> DataFrame:
+    """(key, ekey, score) of the `cap` entries that share most trigrams with each mention, whatever their score."""
+    c = trigram_candidates(mentions, entries, cap, hot).join(features(mentions, "key", "g", "t"), "key")
+    c = c.join(broadcast_if_small(features(entries.select(F.col("key").alias("ekey")), "ekey", "h", "u")), "ekey")
+    return c.select("key", "ekey", F.round(similarity(*(F.col(x) for x in ("key", "ekey", "g", "h", "t", "u"))), 6).alias("score"))
+
+
 def _listed(fuzzy: DataFrame) -> DataFrame:
     return fuzzy.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "code"))), lambda x: x["code"]).alias("codes"))
 
@@ -119,12 +172,30 @@ def _with_none(keys: DataFrame, found: DataFrame) -> DataFrame:
     return out.select("key", F.coalesce("stage", F.lit("none")).alias("stage"), F.coalesce("codes", F.array().cast("array<string>")).alias("codes"))
 
 
-def explain(mentions: DataFrame, icd: DataFrame, topk: int = 5) -> DataFrame:
-    """(key, code, name, score): the closest entries with exact ones at 1, no threshold."""
-    pairs = kb.icd_pairs(icd).where("key <> ''")
-    exact = mentions.select("key").distinct().join(broadcast_if_small(pairs.distinct()), "key").select("key", "code", F.lit(1.0).alias("score"))
-    fuzzy = link_fuzzy(mentions, pairs, -1.0, 10_000).select("key", "code", "score")
+def _explained(exact: DataFrame, fuzzy: DataFrame, name: DataFrame, topk: int) -> DataFrame:
     best = exact.unionByName(fuzzy).groupBy("key", "code").agg(F.max("score").alias("score"))
-    name = broadcast_if_small(icd.groupBy("code").agg(F.min(F.coalesce("vn", "en")).alias("name")))
     w = W.partitionBy("key").orderBy(F.desc("score"), "code")
-    return best.withColumn("r", F.row_number().over(w)).where(F.col("r") <= topk).join(name, "code", "left").select("key", "code", "name", "score")
+    top = best.withColumn("r", F.row_number().over(w)).where(F.col("r") <= topk)
+    return top.join(broadcast_if_small(name), "code", "left").select("key", "code", "name", "score")
+
+
+def _equal(mentions: DataFrame, pairs: DataFrame) -> DataFrame:
+    return mentions.select("key").distinct().join(broadcast_if_small(pairs.distinct()), "key").select("key", "code", F.lit(1.0).alias("score"))
+
+
+def explain(mentions: DataFrame, icd: DataFrame, topk: int = 5) -> DataFrame:
+    """(key, code, name, score): the closest entries of each language with exact ones at 1, no threshold."""
+    pairs = kb.icd_pairs(icd).where("key <> ''")
+    fuzzy = None
+    for c in ("key_vn", "key_en"):
+        e = icd.select(F.col(c).alias("key"), "code").where("key <> ''")
+        part = _best_codes(closest(mentions, e), e, 10_000).select("key", "code", "score")
+        fuzzy = part if fuzzy is None else fuzzy.unionByName(part)
+    return _explained(_equal(mentions, pairs), fuzzy, kb.icd_names(icd), topk)
+
+
+def explain_rx(mentions: DataFrame, rx: DataFrame, topk: int = 6) -> DataFrame:
+    """The same for drugs, with preferred names."""
+    pairs = rx.select("key", F.col("rxcui").alias("code")).where("key <> ''")
+    fuzzy = _best_codes(closest(mentions, pairs), pairs, 10_000).select("key", "code", "score")
+    return _explained(_equal(mentions, pairs), fuzzy, kb.preferred(rx).select(F.col("rxcui").alias("code"), "name"), topk)

@@ -15,29 +15,67 @@ from ..functions import text as X
 from ..session import broadcast_if_small
 
 
+def _running(lens: Column, block: int = 256) -> Column:
+    """Running sums of an array of numbers, in blocks, so that an array of n takes n x block steps, not n x n."""
+    zero = F.array(F.lit(0))
+    last = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0))
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(lens) - 1) / block).cast("int"), F.lit(0))), lambda k: F.slice(lens, k * block + 1, F.lit(block)))
+    sums = F.transform(blocks, lambda b: F.slice(F.aggregate(b, zero, lambda acc, x: F.concat(acc, F.array(last(acc) + x))), F.lit(2), F.lit(block)))
+    ahead = F.aggregate(sums, zero, lambda acc, b: F.concat(acc, F.array(last(acc) + last(b))))
+    return F.flatten(F.transform(F.arrays_zip(sums.alias("b"), F.slice(ahead, F.lit(1), F.size(ahead) - 1).alias("a")), lambda z: F.transform(z["b"], lambda x: x + z["a"])))
+
+
+def matches(df: DataFrame, text: str, pattern: str, name: str = "found") -> DataFrame:
+    """`df` with an array of (start, end, match) of every match of a pattern that never matches nothing; rows
+    without a match are left out. No shuffle: offsets are folded inside the row."""
+    m, g = f"__{name}_m", f"__{name}_g"
+    d = df.where(F.col(text).isNotNull()).withColumn(m, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).where(F.size(m) > 0)
+    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(m))
+    d = d.withColumn(g, F.transform(F.arrays_zip(gaps.alias("s"), F.col(m).alias("m")), lambda z: F.length(z["s"]) + F.length(z["m"])))
+    ends = F.arrays_zip(_running(F.col(g)).alias("e"), F.col(m).alias("m"))
+    return d.withColumn(name, F.transform(ends, lambda z: F.struct((z["e"] - F.length(z["m"])).cast("int").alias("start"), z["e"].cast("int").alias("end"), z["m"].alias("match")))).drop(m, g)
+
+
 def scan(df: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
-    """(key, no, start, end, match): every match of a pattern that never matches nothing."""
-    lists = df.where(F.col(text).isNotNull()).select(key, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("s"))
-    one = lists.where(F.size("m") > 0).select(key, F.posexplode(F.arrays_zip(F.col("m"), F.slice("s", 1, F.size("m")).alias("s"))).alias("no", "x"))
-    one = one.select(key, "no", F.col("x.m").alias("match"), F.length("x.s").alias("gap"))
-    before = W.partitionBy(key).orderBy("no").rowsBetween(W.unboundedPreceding, 0)
-    one = one.withColumn("end", F.sum(F.col("gap") + F.length("match")).over(before).cast("int"))
-    return one.select(key, "no", (F.col("end") - F.length("match")).alias("start"), "end", "match")
+    """(key, no, start, end, match): every match of a pattern that never matches nothing, one row each."""
+    one = matches(df.select(key, text), text, pattern).select(key, F.posexplode("found").alias("no", "x"))
+    return one.select(key, "no", "x.start", "x.end", "x.match")
+
+
+_HEAD = "[A-Za-z]+|[0-9%/+.-]"
 
 
 def dictionary_spans(df: DataFrame, names: DataFrame, key: str, text: str, least: int = 5, dose: str | None = None) -> DataFrame:
-    """(key, start, end, name): names of one word that stand between characters other than a-z, in any case.
+    """(key, start, end, name): dictionary names that stand between characters other than a-z, in any case, from
+    the left, the longest first, none inside another; names may hold blanks, hyphens and figures.
 
-    Runs of letters are looked up in the dictionary by a hash join instead of one pattern of all names, so
-    the cost does not grow with the dictionary. `dose`: a pattern that may extend a span.
+    Names are looked up by their head, the run of letters (or the one other sign) that they begin with, by a hash
+    join; the few names of a head are compared with the text, so the cost does not grow with the dictionary.
+    `dose`: a pattern that may extend a span; the scan goes on after the name. `names` hold keys: lower case,
+    plain letters. Null and empty texts have none.
     """
-    words = scan(df, key, text, "[A-Za-z]+").where(F.length("match") >= least)
-    hit = words.withColumn("name", F.lower("match")).join(broadcast_if_small(names.where(F.length("name") >= least).select("name").distinct()), "name")
+    n = names.where(F.length("name") >= least).select("name").distinct()
+    longest = n.agg(F.coalesce(F.max(F.length("name")), F.lit(0)).alias("n")).first().n
+    heads = n.groupBy(F.regexp_extract("name", f"^(?:{_HEAD})", 0).alias("head")).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.length("name")).alias("l"), "name"))), lambda x: x["name"]).alias("names"))
+    found = matches(df.select(key, text), text, _HEAD)
+    at = F.transform("found", lambda x: F.struct(x["start"].alias("start"), F.lower(x["match"]).alias("head"), F.substring(F.col(text), x["start"] + 1, F.lit(longest + 1)).alias("tail")))
+    before = lambda x: F.substring(F.col(text), x["start"], F.lit(1)).rlike("[A-Za-z]") & (x["start"] > 0)
+    anchors = found.select(key, F.explode(F.filter(at, lambda x: ~before(x))).alias("x")).select(key, "x.start", "x.head", "x.tail")
+    low = F.lower("tail")
+    whole = F.filter("names", lambda w: (F.substring(low, F.lit(1), F.length(w)) == w) & ~F.substring(F.col("tail"), F.length(w) + 1, F.lit(1)).rlike("[A-Za-z]"))
+    hit = anchors.join(broadcast_if_small(heads), "head").withColumn("name", F.get(whole, F.lit(0))).where("name IS NOT NULL")
+    per = hit.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.length("name")).alias("end"), "name"))).alias("all"))
+
+    def step(kept, x):
+        return F.when((F.size(kept) == 0) | (F.get(kept, F.size(kept) - 1)["end"] <= x["start"]), F.concat(kept, F.array(x))).otherwise(kept)
+
+    kept = F.aggregate("all", F.slice("all", 1, 0), step)
     if dose is None:
-        return hit.select(key, "start", "end", "name")
-    tail = F.regexp_extract(F.expr(f"substring({text}, end + 1)"), "^(?:" + dose + ")", 0)
-    rest = hit.join(df.select(key, text), key)
-    return rest.withColumn("end", (F.col("end") + F.length(F.regexp_replace(tail, f"[{T.WS}]+$", ""))).cast("int")).select(key, "start", "end", "name")
+        return per.select(key, F.inline(kept))
+    rest = per.select(key, kept.alias("all")).join(df.select(key, text), key)  # one row a text
+    tail = lambda x: F.regexp_extract(F.substring(F.col(text), x["end"] + 1, F.length(text)), "^(?:" + dose + ")", 0)
+    grown = F.transform("all", lambda x: F.struct(x["start"].alias("start"), (x["end"] + F.length(F.regexp_replace(tail(x), f"[{T.WS}]+$", ""))).cast("int").alias("end"), x["name"].alias("name")))
+    return rest.select(key, F.inline(grown))
 
 
 #: Fixed value: a dose right after a drug's name.
@@ -66,7 +104,7 @@ def section_asof(spans: DataFrame, secs: DataFrame, key: str) -> DataFrame:
     """`spans` with `section`: the last section that starts at or before a span, '' if there is none."""
     w = W.partitionBy(key).orderBy("at", "rank").rowsBetween(W.unboundedPreceding, 0)
     # a section comes before the spans that start where it does; one sort per document, no pairs
-    both = spans.withColumn("at", F.col("start")).withColumn("rank", F.lit(1)).unionByName(secs.select(key, F.col("pos").alias("at"), "title", F.lit(0).alias("rank")), allowMissingColumns=True)
+    both = spans.withColumn("at", F.col("start")).withColumn("rank", F.lit(1)).unionByName(secs.select(key, F.col("pos").alias("at"), "title", F.lit(0).alias("rank")), allowMissingColumns=True).repartition(key)
     return both.withColumn("section", F.coalesce(F.last("title", ignorenulls=True).over(w), F.lit(""))).where("rank = 1").drop("at", "rank", "title")
 
 
@@ -160,35 +198,58 @@ def greedy_by_start(spans: DataFrame, key: str) -> DataFrame:
 
 def islands(spans: DataFrame, key: str) -> DataFrame:
     """`spans` with `island`: a number for each group of spans that overlap, directly or through others."""
+    spans = spans.repartition(key)
     order = W.partitionBy(key).orderBy("start", "end", "model")
     reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
     new = F.when(reach.isNull() | (F.col("start") >= reach), 1).otherwise(0)
     return spans.where("end > start").withColumn("new", new).withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("new")
 
 
-def ensemble(spans: DataFrame, key: str, min_conf: float = 0.0, require_agree: bool = False) -> DataFrame:
-    """(key, island, start, end, kind, conf, n_agree, n_models) of the weighted vote of several models' spans
-    (key, model, weight, start, end, kind, score). Ties of kinds go to the first in order, ties of the
-    representative to the smaller (start, end)."""
+def ensemble(spans: DataFrame, key: str, min_conf: float = 0.0, require_agree: bool = False, labels: int = 3) -> DataFrame:
+    """(key, island, start, end, kind, conf, n_agree, n_models, assertions, candidates) of the weighted vote of
+    several models' spans (key, model, weight, start, end, kind, score, and if there, arrays assertions and
+    candidates). Ties of kinds go to the first in order, ties of the representative to the smaller (start, end).
+    Assertions (at most `labels`) and candidates are those of the winning kind's spans in order of model and
+    place, each once; null arrays and elements add nothing."""
+    none = F.array().cast("array<string>")
+    for c in ("assertions", "candidates"):
+        if c not in spans.columns:
+            spans = spans.withColumn(c, none)
     g = islands(spans, key).withColumn("v", F.col("weight") * F.col("score"))
     n = g.groupBy(key, "island").agg(F.count_distinct("model").alias("n_models"))
+    member = F.array_sort(F.collect_list(F.struct("model", "start", "end", F.coalesce("assertions", none).alias("a"), F.coalesce("candidates", none).alias("c"))))
     vote = g.groupBy(key, "island", "kind").agg(
         F.round(F.sum("v"), 6).alias("conf"), F.count_distinct("model").alias("n_agree"),
-        F.min(F.struct((-F.col("v")).alias("v"), "start", "end")).alias("rep"),
+        F.min(F.struct((-F.col("v")).alias("v"), "start", "end")).alias("rep"), member.alias("m"),
+    )
+    best = vote.groupBy(key, "island").agg(F.min_by(F.struct("kind", "conf", "n_agree", "rep", "m"), F.struct((-F.col("conf")).alias("c"), "kind")).alias("b"))
+    joined = lambda f: F.array_distinct(F.array_compact(F.flatten(F.transform("b.m", lambda x: x[f]))))
+    out = best.join(n, [key, "island"]).select(
+        key, "island", F.col("b.rep.start").alias("start"), F.col("b.rep.end").alias("end"), F.col("b.kind").alias("kind"), F.col("b.conf").alias("conf"), F.col("b.n_agree").alias("n_agree"), "n_models",
+        F.slice(joined("a"), 1, labels).alias("assertions"), joined("c").alias("candidates"),
     )
-    best = vote.groupBy(key, "island").agg(F.min(F.struct((-F.col("conf")).alias("c"), "kind", "conf", "n_agree", "rep")).alias("b"))
-    out = best.join(n, [key, "island"]).select(key, "island", F.col("b.rep.start").alias("start"), F.col("b.rep.end").alias("end"), F.col("b.kind").alias("kind"), F.col("b.conf").alias("conf"), F.col("b.n_agree").alias("n_agree"), "n_models")
     out = out.where(F.col("conf") >= min_conf)
     return out.where("n_agree >= 2") if require_agree else out
 
 
+def token_ranges(tokens: DataFrame, spans: DataFrame, key: str) -> DataFrame:
+    """`spans` (key, span_no, start, end, ...) with `first` and `last`, the numbers of the first and the last token
+    (key, no from 0, start, end; disjoint) that they overlap; spans without a token are left out. Borders of
+    tokens and spans are swept in one order, so no pairs of tokens and spans are made."""
+    t = tokens.select(key, F.inline(F.array(F.struct(F.col("end").alias("at"), F.lit(0).alias("rank")), F.struct(F.col("start").alias("at"), F.lit(3).alias("rank")))))
+    s = spans.select(key, "span_no", F.inline(F.array(F.struct(F.col("end").alias("at"), F.lit(1).alias("rank")), F.struct(F.col("start").alias("at"), F.lit(2).alias("rank")))))
+    before = W.partitionBy(key).orderBy("at", "rank").rowsBetween(W.unboundedPreceding, 0)
+    swept = t.unionByName(s, allowMissingColumns=True).repartition(key).withColumn("ended", F.count_if(F.col("rank") == 0).over(before)).withColumn("begun", F.count_if(F.col("rank") == 3).over(before))
+    ranges = swept.where("span_no IS NOT NULL").groupBy(key, "span_no").agg(F.max(F.when(F.col("rank") == 2, F.col("ended"))).cast("int").alias("first"), (F.max(F.when(F.col("rank") == 1, F.col("begun"))) - 1).cast("int").alias("last"))
+    return spans.join(ranges.where("first <= last"), [key, "span_no"])
+
+
 def align(tokens: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     """(key, no, start, end, label): BIO label of each token (key, no, start, end); of the spans (key,
     span_no, start, end, kind) that overlap a token the last wins, and its first token gets B."""
-    s = spans.select(key, "span_no", F.col("start").alias("a"), F.col("end").alias("b"), "kind")
-    hit = tokens.join(s, key).where((F.col("start") < F.col("b")) & (F.col("a") < F.col("end")))
-    first = hit.withColumn("lead", F.min("no").over(W.partitionBy(key, "span_no")))
-    won = first.groupBy(key, "no").agg(F.max(F.struct("span_no", "kind", "lead")).alias("w"))
+    hit = token_ranges(tokens, spans.where("start < end").select(key, "span_no", "start", "end", "kind"), key)
+    each = hit.select(key, "span_no", "kind", F.col("first").alias("lead"), F.explode(F.sequence("first", "last")).alias("no"))
+    won = each.groupBy(key, "no").agg(F.max(F.struct("span_no", "kind", "lead")).alias("w"))
     label = F.when(F.col("w").isNull(), "O").otherwise(F.concat(F.when(F.col("no") == F.col("w.lead"), "B-").otherwise("I-"), F.col("w.kind")))
     return tokens.join(won, [key, "no"], "left").select(key, "no", "start", "end", label.alias("label"))
 

@@ -101,18 +101,29 @@ def link_fuzzy(spark, sf_dir):
 
 def trigram_candidates(spark, sf_dir):
     rx = table(spark, sf_dir, "rxnorm_index")
-    return linking.trigram_candidates(mentions(spark, sf_dir, T.DRUG), rx, cap=20)
+    return linking.trigram_candidates(mentions(spark, sf_dir, T.DRUG), rx)
 
 
 def link_explain(spark, sf_dir):
     return linking.explain(mentions(spark, sf_dir, T.DIAGNOSIS), table(spark, sf_dir, "icd_index"))
 
 
+def link_explain_rx(spark, sf_dir):
+    return linking.explain_rx(mentions(spark, sf_dir, T.DRUG), table(spark, sf_dir, "rxnorm_index"))
+
+
+def code_names(spark, sf_dir):
+    """The preferred name of each drug code among the concepts' candidates."""
+    c = table(spark, sf_dir, "out_docs").select(F.explode("concepts").alias("c")).where(F.col("c.type") == T.DRUG)
+    codes = c.select(F.explode("c.candidates").alias("code")).where("code <> ''").distinct()
+    return kb.with_names(codes, kb.preferred(table(spark, sf_dir, "rxnorm_index")).withColumnRenamed("rxcui", "code"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         norm_key, norm_key_loose, strip_accents, strip_suffix_terms, tokens, char_trigrams, kb_filter, kb_exact, kb_children, kb_relaxed, kb_preferred, kb_dictionary, kb_names,
-        link_exact, link_hierarchy, link_relaxed, link_cascade_icd, link_cascade_rx, link_fuzzy, trigram_candidates, link_explain,
+        link_exact, link_hierarchy, link_relaxed, link_cascade_icd, link_cascade_rx, link_fuzzy, trigram_candidates, link_explain, link_explain_rx, code_names,
     )
 }
 
@@ -162,20 +173,43 @@ flat AS (SELECT key, flatten(list(l ORDER BY pos)) AS f FROM ls GROUP BY key),
 hier AS (SELECT key, list_filter(f, lambda x, i: list_position(f, x) = i)[1:3] AS codes FROM flat)"""
 
 
-def _fuzzy(men: str, pairs: str, threshold: float, salts: bool, cap: int = 400) -> str:
-    extra = f" + CASE WHEN {salts_sql('key')} = {salts_sql('ekey')} THEN 0.15 ELSE 0 END" if salts else ""
-    return f"""eg AS (SELECT DISTINCT key AS ekey, unnest({grams_sql('key')}) AS gram FROM {pairs}),
-mg AS (SELECT key, unnest({grams_sql('key')}) AS gram FROM {men}),
-sh AS (SELECT key, ekey, count(*) AS shared FROM mg JOIN eg USING (gram) GROUP BY 1, 2),
-cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY shared DESC, ekey) AS r FROM sh) WHERE r <= {cap}),
-parts AS (SELECT key, ekey, shared, {grams_sql('key')} AS g, {grams_sql('ekey')} AS h, list_distinct(string_split(key, ' ')) AS t, list_distinct(string_split(ekey, ' ')) AS u FROM cand),
+_SCORE = """0.40 * gi / (len(g) + len(h) - gi) + 0.22 * (2 * both_) / (len(t) + len(u)) + CASE WHEN both_ = len(t) THEN 0.18 ELSE 0 END
+  + 0.12 * CASE WHEN starts_with(ekey, key) THEN 1 WHEN contains(ekey, key) THEN 0.7 ELSE 0 END + 0.08 * both_ / len(t)"""
+
+
+def _scored(extra: str = "") -> str:
+    return f"""parts AS (SELECT key, ekey, {grams_sql('key')} AS g, {grams_sql('ekey')} AS h, list_distinct(string_split(key, ' ')) AS t, list_distinct(string_split(ekey, ' ')) AS u FROM cand),
 counted AS (SELECT *, len(list_intersect(t, u)) AS both_, len(list_intersect(g, h)) AS gi FROM parts),
-scored AS (SELECT key, ekey, round(0.40 * gi / (len(g) + len(h) - gi) + 0.22 * (2 * both_) / (len(t) + len(u)) + CASE WHEN both_ = len(t) THEN 0.18 ELSE 0 END
-  + 0.12 * CASE WHEN starts_with(ekey, key) THEN 1 WHEN contains(ekey, key) THEN 0.7 ELSE 0 END + 0.08 * both_ / len(t){extra}, 6) AS score FROM counted),
+scored AS (SELECT key, ekey, round({_SCORE}{extra}, 6) AS score FROM counted)"""
+
+
+def _fuzzy(men: str, pairs: str, threshold: float, salts: bool) -> str:
+    """All pairs with a word in common, or equal without salts, scored."""
+    extra = f" + CASE WHEN {salts_sql('key')} = {salts_sql('ekey')} THEN 0.15 ELSE 0 END" if salts else ""
+    equal = f" UNION SELECT key, ekey FROM (SELECT key, {salts_sql('key')} AS b FROM {men}) JOIN (SELECT DISTINCT key AS ekey, {salts_sql('key')} AS b FROM {pairs}) USING (b)" if salts else ""
+    return f"""eg AS (SELECT DISTINCT key AS ekey, unnest(string_split(key, ' ')) AS word FROM {pairs}),
+mg AS (SELECT DISTINCT key, unnest(string_split(key, ' ')) AS word FROM {men}),
+cand AS (SELECT DISTINCT key, ekey FROM mg JOIN eg USING (word){equal}),
+{_scored(extra)},
 best AS (SELECT key, code, max(score) AS score FROM scored JOIN (SELECT DISTINCT key AS ekey, code FROM {pairs}) USING (ekey) WHERE score >= {threshold} GROUP BY 1, 2),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, code) AS rank FROM best)"""
 
 
+def _closest(sides: tuple[str, ...], exact: str, names: str, topk: int, cap: int = 400) -> str:
+    """The entries of each side that share most trigrams, scored, and the exact ones at 1."""
+    side = " UNION ALL ".join(f"SELECT {i} AS side, key AS ekey, code FROM {x}" for i, x in enumerate(sides))
+    return f"""side AS ({side}), eg AS (SELECT DISTINCT side, ekey, unnest({grams_sql('ekey')}) AS gram FROM side),
+mg AS (SELECT key, unnest({grams_sql('key')}) AS gram FROM men),
+sh AS (SELECT key, side, ekey, count(*) AS shared FROM mg JOIN eg USING (gram) GROUP BY 1, 2, 3),
+top AS (SELECT * FROM sh QUALIFY row_number() OVER (PARTITION BY key, side ORDER BY shared DESC, ekey) <= {cap}),
+cand AS (SELECT DISTINCT key, ekey FROM top), {_scored()},
+al AS (SELECT key, code, score FROM top JOIN scored USING (key, ekey) JOIN side USING (side, ekey) UNION ALL SELECT key, code, 1.0 FROM men JOIN {exact} USING (key)),
+ab AS (SELECT key, code, max(score) AS score FROM al GROUP BY 1, 2), nm AS ({names})
+SELECT key, code, name, CAST(score AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, code) AS r FROM ab) LEFT JOIN nm USING (code) WHERE r <= {topk}"""
+
+
+_ICD_NAMES = "SELECT code, coalesce(min(vn) FILTER (vn <> ''), min(en) FILTER (en <> '')) AS name FROM icd_index GROUP BY code"
+_PREFERRED = "SELECT rxcui, arg_min(str, {'r': coalesce(list_position(" + str(list(T.TTY_RANK)) + ", tty), 99), 's': str}) AS name FROM rxnorm_index GROUP BY rxcui"
 _REL = f"""rel AS (SELECT k, list_sort(list(DISTINCT rxcui)) AS codes FROM (SELECT {salts_sql('key')} AS k, key, rxcui FROM rxnorm_index) WHERE k <> key AND k <> '' GROUP BY k)"""
 
 SQL = {
@@ -189,8 +223,8 @@ SQL = {
     "kb_exact": f"WITH {_EXACT} SELECT key, array_to_string(codes, '|') AS codes FROM exact",
     "kb_children": f"WITH {_CHILD} SELECT parent, array_to_string(children, '|') AS children FROM kids",
     "kb_relaxed": f"WITH {_REL} SELECT k AS key, array_to_string(codes, '|') AS codes FROM rel",
-    "kb_preferred": "SELECT rxcui, arg_min(str, {'r': coalesce(list_position(" + str(list(T.TTY_RANK)) + ", tty), 99), 's': str}) AS name FROM rxnorm_index GROUP BY rxcui",
-    "kb_dictionary": "SELECT DISTINCT key AS name, CAST(length(key) AS INTEGER) AS n_chars FROM rxnorm_index WHERE tty IN ('IN', 'PIN', 'MIN', 'BN') AND length(key) >= 4 AND length(key) - length(replace(key, ' ', '')) <= 5",
+    "kb_preferred": _PREFERRED,
+    "kb_dictionary": "SELECT DISTINCT key AS name, CAST(length(key) AS INTEGER) AS n_chars FROM rxnorm_index WHERE tty IN ('IN', 'PIN', 'MIN', 'BN') AND length(key) >= 4 AND length(key) - length(replace(key, ' ', '')) <= 5 AND key NOT IN (" + str(list(T.NOT_DRUGS))[1:-1] + ")",
     "kb_names": "SELECT DISTINCT * FROM (SELECT 'icd' AS kb, vn AS name, code FROM icd_index UNION ALL SELECT 'icd', en, code FROM icd_index UNION ALL SELECT 'rxnorm', str, rxcui FROM rxnorm_index) WHERE name <> ''",
     "link_exact": f"WITH {_mentions(T.DIAGNOSIS)}, {_EXACT} SELECT key, array_to_string(codes[1:3], '|') AS codes FROM men JOIN exact USING (key)",
     "link_hierarchy": f"WITH {_mentions(T.DIAGNOSIS)}, {_HIER} SELECT key, array_to_string(codes, '|') AS codes FROM hier",
@@ -203,7 +237,8 @@ SQL = {
     "SELECT men.key AS key, CASE WHEN ex.key IS NOT NULL THEN 'exact' WHEN rl.key IS NOT NULL THEN 'relaxed' WHEN fz.key IS NOT NULL THEN 'fuzzy' ELSE 'none' END AS stage, array_to_string(coalesce(ex.codes, rl.codes, fz.codes, []), '|') AS codes "
     "FROM men LEFT JOIN ex USING (key) LEFT JOIN rl ON rl.key = men.key LEFT JOIN fz ON fz.key = men.key",
     "link_fuzzy": f"WITH {_mentions(T.DRUG)}, {_fuzzy('men', _RX, 0.60, True)} SELECT key, code, score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 3",
-    "trigram_candidates": f"WITH {_mentions(T.DRUG)}, eg AS (SELECT DISTINCT key AS ekey, unnest({grams_sql('key')}) AS gram FROM rxnorm_index), mg AS (SELECT key, unnest({grams_sql('key')}) AS gram FROM men), sh AS (SELECT key, ekey, count(*) AS shared FROM mg JOIN eg USING (gram) GROUP BY 1, 2) SELECT key, ekey, shared FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY shared DESC, ekey) AS r FROM sh) WHERE r <= 20",
-    "link_explain": f"WITH {_mentions(T.DIAGNOSIS)}, {_fuzzy('men', _PAIRS, -1.0, False)}, ex AS (SELECT key, code, 1.0 AS score FROM men JOIN {_PAIRS} USING (key)), al AS (SELECT key, code, max(score) AS score FROM (SELECT key, code, score FROM ranked UNION ALL SELECT * FROM ex) GROUP BY 1, 2), "
-    "nm AS (SELECT code, min(coalesce(vn, en)) AS name FROM icd_index GROUP BY code) SELECT key, code, name, CAST(score AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, code) AS r FROM al) LEFT JOIN nm USING (code) WHERE r <= 5",
+    "trigram_candidates": f"WITH {_mentions(T.DRUG)}, eg AS (SELECT DISTINCT key AS ekey, unnest({grams_sql('key')}) AS gram FROM rxnorm_index), mg AS (SELECT key, unnest({grams_sql('key')}) AS gram FROM men), sh AS (SELECT key, ekey, count(*) AS shared FROM mg JOIN eg USING (gram) GROUP BY 1, 2) SELECT key, ekey, shared FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY shared DESC, ekey) AS r FROM sh) WHERE r <= 400",
+    "link_explain": f"WITH {_mentions(T.DIAGNOSIS)}, " + _closest(tuple(f"(SELECT DISTINCT {c} AS key, code FROM icd_index WHERE {c} <> '')" for c in ("key_vn", "key_en")), _PAIRS, _ICD_NAMES, 5),
+    "link_explain_rx": f"WITH {_mentions(T.DRUG)}, " + _closest((_RX,), _RX, f"SELECT rxcui AS code, name FROM ({_PREFERRED})", 6),
+    "code_names": f"SELECT DISTINCT code, coalesce(name, '') AS name FROM (SELECT unnest(c.candidates) AS code FROM (SELECT unnest(concepts) AS c FROM out_docs) WHERE c.type = '{T.DRUG}') LEFT JOIN (SELECT rxcui AS code, name FROM ({_PREFERRED})) USING (code) WHERE code <> ''",
 }

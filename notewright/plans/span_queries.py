@@ -68,9 +68,9 @@ def greedy_nonoverlap(spark, sf_dir):
 
 
 def _models(spark, sf_dir):
-    gold = _gold(spark, sf_dir).where("start < end").select("rec_id", F.lit("gold").alias("model"), F.lit(1.0).alias("weight"), "start", "end", F.coalesce("fine", "coarse", F.lit("OTHER")).alias("kind"), F.lit(0.75).alias("score"))
+    gold = _gold(spark, sf_dir).where("start < end").select("rec_id", F.lit("gold").alias("model"), F.lit(1.0).alias("weight"), "start", "end", F.coalesce("fine", "coarse", F.lit("OTHER")).alias("kind"), F.lit(0.75).alias("score"), "assertions", "candidates")
     scan = dict_scan_offsets(spark, sf_dir).select("rec_id", F.lit("scan").alias("model"), F.lit(0.5).alias("weight"), "start", "end", F.lit(T.DRUG).alias("kind"), F.lit(1.0).alias("score"))
-    return gold.unionByName(scan)
+    return gold.unionByName(scan, allowMissingColumns=True)
 
 
 def ensemble_islands(spark, sf_dir):
@@ -78,12 +78,16 @@ def ensemble_islands(spark, sf_dir):
     return i.groupBy("rec_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"), F.count_distinct("model").alias("n_models")).drop("island")
 
 
+def _votes(df):
+    return df.withColumns({c: F.array_join(c, "|") for c in ("assertions", "candidates")}).drop("island")
+
+
 def ensemble_vote(spark, sf_dir):
-    return spans.ensemble(_models(spark, sf_dir), "rec_id").drop("island")
+    return _votes(spans.ensemble(_models(spark, sf_dir), "rec_id"))
 
 
 def ensemble_agree(spark, sf_dir):
-    return spans.ensemble(_models(spark, sf_dir), "rec_id", require_agree=True).drop("island")
+    return _votes(spans.ensemble(_models(spark, sf_dir), "rec_id", require_agree=True))
 
 
 def align_labels(spark, sf_dir):
@@ -155,13 +159,15 @@ FROM (SELECT *, unnest(range(1, len(spans) + 1)) AS i FROM rec) WHERE spans[i] I
 _DICT = _scan("rec", "rec_id", "[A-Za-z]+", "w") + ', dic AS (SELECT rec_id, start, "end", name FROM w JOIN (SELECT DISTINCT name FROM drug_gazetteer WHERE length(name) >= 5) ON lower(match) = name)'
 _SECS = _scan("rec", "rec_id", spans.SECTION, "sc") + f", secs AS (SELECT rec_id, start AS pos, regexp_replace(regexp_extract(match, '{spans.SECTION_PARTS}', 1), '^[{T.WS}]+|[{T.WS}]+$', '', 'g') AS title FROM sc)"
 _ASOF = "sec AS (SELECT g.*, coalesce((SELECT arg_max(title, pos) FROM secs s WHERE s.rec_id = g.rec_id AND s.pos <= g.start), '') AS section FROM gold g)"
-_MODELS = f"""models AS (SELECT rec_id, 'gold' AS model, 1.0 AS weight, start, "end", coalesce(fine, coarse, 'OTHER') AS kind, 0.75 AS score FROM gold WHERE start < "end" UNION ALL SELECT rec_id, 'scan', 0.5, start, "end", '{T.DRUG}', 1.0 FROM dic),
+_MODELS = f"""models AS (SELECT rec_id, 'gold' AS model, 1.0 AS weight, start, "end", coalesce(fine, coarse, 'OTHER') AS kind, 0.75 AS score, coalesce(assertions, []) AS assertions, coalesce(candidates, []) AS candidates FROM gold WHERE start < "end" UNION ALL SELECT rec_id, 'scan', 0.5, start, "end", '{T.DRUG}', 1.0, [], [] FROM dic),
 reach AS (SELECT *, max("end") OVER (PARTITION BY rec_id ORDER BY start, "end", model ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM models),
 isl AS (SELECT *, sum(CASE WHEN r IS NULL OR start >= r THEN 1 ELSE 0 END) OVER (PARTITION BY rec_id ORDER BY start, "end", model ROWS UNBOUNDED PRECEDING) AS island FROM reach)"""
-_VOTE = """vote AS (SELECT rec_id, island, kind, round(sum(weight * score), 6) AS conf, count(DISTINCT model) AS n_agree, min({'v': -weight * score, 's': start, 'e': "end"}) AS rep FROM isl GROUP BY 1, 2, 3),
+_VOTE = """vote AS (SELECT rec_id, island, kind, round(sum(weight * score), 6) AS conf, count(DISTINCT model) AS n_agree, min({'v': -weight * score, 's': start, 'e': "end"}) AS rep,
+  list_filter(flatten(list(assertions ORDER BY model, start, "end", assertions, candidates)), lambda x: x IS NOT NULL) AS a, list_filter(flatten(list(candidates ORDER BY model, start, "end", assertions, candidates)), lambda x: x IS NOT NULL) AS c FROM isl GROUP BY 1, 2, 3),
 nm AS (SELECT rec_id, island, count(DISTINCT model) AS n_models FROM isl GROUP BY 1, 2),
 best AS (SELECT * FROM vote QUALIFY row_number() OVER (PARTITION BY rec_id, island ORDER BY conf DESC, kind) = 1),
-ens AS (SELECT rec_id, rep.s AS start, rep.e AS "end", kind, CAST(conf AS DOUBLE) AS conf, n_agree, n_models FROM best JOIN nm USING (rec_id, island))"""
+ens AS (SELECT rec_id, rep.s AS start, rep.e AS "end", kind, CAST(conf AS DOUBLE) AS conf, n_agree, n_models,
+  array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i)[1:3], '|') AS assertions, array_to_string(list_filter(c, lambda x, i: list_position(c, x) = i), '|') AS candidates FROM best JOIN nm USING (rec_id, island))"""
 _FOLD = f"translate(lower({{}}), '{T.ACCENTED}', '{T.PLAIN}')"
 
 
