@@ -12,7 +12,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import tables as T
 from ..functions import text as X
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, spread
 
 
 def _running(lens: Column, block: int = 256) -> Column:
@@ -26,23 +26,29 @@ def _running(lens: Column, block: int = 256) -> Column:
 
 
 def matches(df: DataFrame, text: str, pattern: str, name: str = "found") -> DataFrame:
-    """`df` with an array of (start, end, match) of every match of a pattern that never matches nothing; rows
-    without a match are left out. No shuffle: offsets are folded inside the row."""
+    """`df` with an array of (start, end, match) of every match of a pattern that never matches nothing; null
+    texts have a null array. No shuffle: offsets are folded inside the row."""
     m, g = f"__{name}_m", f"__{name}_g"
-    d = df.where(F.col(text).isNotNull()).withColumn(m, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).where(F.size(m) > 0)
+    d = df.withColumn(m, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(m))
     d = d.withColumn(g, F.transform(F.arrays_zip(gaps.alias("s"), F.col(m).alias("m")), lambda z: F.length(z["s"]) + F.length(z["m"])))
     ends = F.arrays_zip(_running(F.col(g)).alias("e"), F.col(m).alias("m"))
     return d.withColumn(name, F.transform(ends, lambda z: F.struct((z["e"] - F.length(z["m"])).cast("int").alias("start"), z["e"].cast("int").alias("end"), z["m"].alias("match")))).drop(m, g)
 
 
+def listed(df: DataFrame, array, *keep: str) -> DataFrame:
+    """One row per struct of an array column, its fields as columns. The outer generator keeps the optimiser from
+    evaluating a costly array once more in a filter below."""
+    return df.select(*keep, F.explode_outer(array).alias("__x")).where("__x IS NOT NULL").select(*keep, "__x.*")
+
+
 def scan(df: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
     """(key, no, start, end, match): every match of a pattern that never matches nothing, one row each."""
-    one = matches(df.select(key, text), text, pattern).select(key, F.posexplode("found").alias("no", "x"))
+    one = matches(df.select(key, text), text, pattern).select(key, F.posexplode_outer("found").alias("no", "x")).where("x IS NOT NULL")
     return one.select(key, "no", "x.start", "x.end", "x.match")
 
 
-_HEAD = "[A-Za-z]+|[0-9%/+.-]"
+_HEAD = "[a-z]+|[0-9%/+.-]"
 
 
 def dictionary_spans(df: DataFrame, names: DataFrame, key: str, text: str, least: int = 5, dose: str | None = None) -> DataFrame:
@@ -55,12 +61,15 @@ def dictionary_spans(df: DataFrame, names: DataFrame, key: str, text: str, least
     plain letters. Null and empty texts have none.
     """
     n = names.where(F.length("name") >= least).select("name").distinct()
-    longest = n.agg(F.coalesce(F.max(F.length("name")), F.lit(0)).alias("n")).first().n
-    heads = n.groupBy(F.regexp_extract("name", f"^(?:{_HEAD})", 0).alias("head")).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.length("name")).alias("l"), "name"))), lambda x: x["name"]).alias("names"))
-    found = matches(df.select(key, text), text, _HEAD)
+    n = n.withColumn("head", F.regexp_extract("name", f"^(?:{_HEAD})", 0)).where("head <> ''")
+    letters = F.col("head").rlike("[a-z]")
+    facts = n.agg(F.max(F.length("name")).alias("longest"), F.min(F.when(letters, F.length("head"))).alias("least"), F.max(~letters).alias("signs")).first()
+    longest, pattern = facts.longest or 0, f"[A-Za-z]{{{facts.least or 1},}}" + ("|[0-9%/+.-]" if facts.signs else "")
+    heads = n.groupBy("head").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.length("name")).alias("l"), "name"))), lambda x: x["name"]).alias("names"))
+    found = matches(df.select(key, text), text, pattern)
     at = F.transform("found", lambda x: F.struct(x["start"].alias("start"), F.lower(x["match"]).alias("head"), F.substring(F.col(text), x["start"] + 1, F.lit(longest + 1)).alias("tail")))
-    before = lambda x: F.substring(F.col(text), x["start"], F.lit(1)).rlike("[A-Za-z]") & (x["start"] > 0)
-    anchors = found.select(key, F.explode(F.filter(at, lambda x: ~before(x))).alias("x")).select(key, "x.start", "x.head", "x.tail")
+    before = lambda at: F.substring(F.col(text), at, F.lit(1)).rlike("[A-Za-z]") & (at > 0)
+    anchors = listed(found, F.filter(at, lambda x: ~before(x["start"])), key)
     low = F.lower("tail")
     whole = F.filter("names", lambda w: (F.substring(low, F.lit(1), F.length(w)) == w) & ~F.substring(F.col("tail"), F.length(w) + 1, F.lit(1)).rlike("[A-Za-z]"))
     hit = anchors.join(broadcast_if_small(heads), "head").withColumn("name", F.get(whole, F.lit(0))).where("name IS NOT NULL")
@@ -71,11 +80,11 @@ def dictionary_spans(df: DataFrame, names: DataFrame, key: str, text: str, least
 
     kept = F.aggregate("all", F.slice("all", 1, 0), step)
     if dose is None:
-        return per.select(key, F.inline(kept))
+        return listed(per, kept, key)
     rest = per.select(key, kept.alias("all")).join(df.select(key, text), key)  # one row a text
     tail = lambda x: F.regexp_extract(F.substring(F.col(text), x["end"] + 1, F.length(text)), "^(?:" + dose + ")", 0)
     grown = F.transform("all", lambda x: F.struct(x["start"].alias("start"), (x["end"] + F.length(F.regexp_replace(tail(x), f"[{T.WS}]+$", ""))).cast("int").alias("end"), x["name"].alias("name")))
-    return rest.select(key, F.inline(grown))
+    return listed(rest, grown, key)
 
 
 #: Fixed value: a dose right after a drug's name.
@@ -104,7 +113,7 @@ def section_asof(spans: DataFrame, secs: DataFrame, key: str) -> DataFrame:
     """`spans` with `section`: the last section that starts at or before a span, '' if there is none."""
     w = W.partitionBy(key).orderBy("at", "rank").rowsBetween(W.unboundedPreceding, 0)
     # a section comes before the spans that start where it does; one sort per document, no pairs
-    both = spans.withColumn("at", F.col("start")).withColumn("rank", F.lit(1)).unionByName(secs.select(key, F.col("pos").alias("at"), "title", F.lit(0).alias("rank")), allowMissingColumns=True).repartition(key)
+    both = spread(spans.withColumn("at", F.col("start")).withColumn("rank", F.lit(1)).unionByName(secs.select(key, F.col("pos").alias("at"), "title", F.lit(0).alias("rank")), allowMissingColumns=True), key)
     return both.withColumn("section", F.coalesce(F.last("title", ignorenulls=True).over(w), F.lit(""))).where("rank = 1").drop("at", "rank", "title")
 
 
@@ -114,39 +123,55 @@ def exploded(df: DataFrame, key: str, spans: str, *keep: str) -> DataFrame:
     return e.select(key, *keep, "span_no", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.text").alias("surface"), "s.fine", "s.coarse", "s.assertions", "s.candidates")
 
 
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _any_of(c: Column, words: tuple[str, ...]) -> Column:
+    """Whether a text holds one of some plain words or phrases."""
+    return c.rlike("|".join(words))
+
+
 def negated(text: Column, start: Column) -> Column:
     """A cue close before the span, not followed by a word that undoes it."""
-    left = X.clause_left(text, start, T.NEGATION_WINDOW)
-    found = F.lit(False)
-    for cue in T.NEGATION_CUES:
+
+    def cue_in(left: Column, cue: str) -> Column:
         # 0-based place of the last occurrence
         last = F.length(left) - F.instr(F.reverse(left), cue[::-1]) - len(cue) + 1
+        near = left.contains(cue) & (F.length(left) - last <= T.NEGATION_REACH)
         rest = F.substring(left, last + len(cue) + 1, F.length(left))
-        first = F.regexp_extract(rest, rf"^[{T.WS}]*([^{T.WS}]+)", 1)
-        two = F.regexp_extract(rest, rf"^[{T.WS}]*([^{T.WS}]+)[{T.WS}]+([^{T.WS}]+)", 2)
-        pair = F.when(two != "", F.concat_ws(" ", first, two)).otherwise(first)
-        hit = left.contains(cue) & ~first.isin(*T.PSEUDO_NEXT) & ~pair.isin(*T.PSEUDO_NEXT) & (F.length(left) - last <= T.NEGATION_REACH)
-        found = found | hit
-    return found
+        undone = rest.rlike(rf"^[{T.WS}]*(?:" + "|".join(w.replace(" ", f"[{T.WS}]+") for w in T.PSEUDO_NEXT) + rf")(?:[{T.WS}]|\z)")
+        return F.when(near, ~undone).otherwise(F.lit(False))
+
+    def some(left: Column) -> Column:
+        found = F.lit(False)
+        for cue in T.NEGATION_CUES:
+            found = found | cue_in(left, cue)
+        return found
+
+    return _let(X.clause_left(text, start, T.NEGATION_WINDOW), some)
 
 
 def of_family(text: Column, start: Column, end: Column) -> Column:
+    """A relative is named before the span or in it."""
     at = F.greatest(start - T.FAMILY_WINDOW, F.lit(0))
     return X.strip_accents(F.lower(F.substring(text, at + 1, end - at))).rlike(r"\b(?:" + "|".join(T.FAMILY_WORDS) + ")")
 
 
 def historical(text: Column, start: Column, end: Column, section: Column) -> Column:
+    """A section about the past, a word right after the span, or a cue before it."""
     title = X.strip_accents(F.lower(F.coalesce(section, F.lit(""))))
     left = X.clause_left(text, start, T.PAST_WINDOW)
     right = X.strip(X.strip_accents(F.lower(F.substring(text, end + 1, F.lit(T.PAST_AFTER)))))
+    past = _let(title, lambda t: _any_of(t, T.PAST_TITLES) & ~_any_of(t, T.PRESENT_TITLES))
+    return past | right.startswith("cu") | _any_of(left, T.PAST_CUES)
 
-    def any_of(c: Column, words) -> Column:
-        out = F.lit(False)
-        for w in words:
-            out = out | c.contains(w)
-        return out
 
-    return (any_of(title, T.PAST_TITLES) & ~any_of(title, T.PRESENT_TITLES)) | right.startswith("cu") | any_of(left, T.PAST_CUES)
+def left_window(text: Column, start: Column, n: int = 60) -> Column:
+    """The last `n` characters before a span as a plain key."""
+    at = F.greatest(start - n, F.lit(0))
+    return X.strip_accents(F.lower(F.substring(text, at + 1, start - at)))
 
 
 def assertions(kind: Column, text: Column, start: Column, end: Column, section: Column) -> Column:
@@ -181,7 +206,7 @@ def greedy(spans: DataFrame, key: str) -> DataFrame:
         clash = F.exists(kept, lambda k: (k["start"] < x["end"]) & (x["start"] < k["end"]))
         return F.when(clash, kept).otherwise(F.concat(kept, F.array(x)))
 
-    return s.select(key, F.inline(F.aggregate("all", empty, step))).select(key, "start", "end", "kind", "prio", "seq")
+    return listed(s, F.aggregate("all", empty, step), key).select(key, "start", "end", "kind", "prio", "seq")
 
 
 def greedy_by_start(spans: DataFrame, key: str) -> DataFrame:
@@ -193,12 +218,12 @@ def greedy_by_start(spans: DataFrame, key: str) -> DataFrame:
         fits = (F.size(kept) == 0) | (F.get(kept, F.size(kept) - 1)["end"] <= x["start"])
         return F.when(fits, F.concat(kept, F.array(x))).otherwise(kept)
 
-    return s.select(key, F.inline(F.aggregate("all", empty, step)))
+    return listed(s, F.aggregate("all", empty, step), key)
 
 
 def islands(spans: DataFrame, key: str) -> DataFrame:
     """`spans` with `island`: a number for each group of spans that overlap, directly or through others."""
-    spans = spans.repartition(key)
+    spans = spread(spans, key)
     order = W.partitionBy(key).orderBy("start", "end", "model")
     reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
     new = F.when(reach.isNull() | (F.col("start") >= reach), 1).otherwise(0)
@@ -239,7 +264,7 @@ def token_ranges(tokens: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     t = tokens.select(key, F.inline(F.array(F.struct(F.col("end").alias("at"), F.lit(0).alias("rank")), F.struct(F.col("start").alias("at"), F.lit(3).alias("rank")))))
     s = spans.select(key, "span_no", F.inline(F.array(F.struct(F.col("end").alias("at"), F.lit(1).alias("rank")), F.struct(F.col("start").alias("at"), F.lit(2).alias("rank")))))
     before = W.partitionBy(key).orderBy("at", "rank").rowsBetween(W.unboundedPreceding, 0)
-    swept = t.unionByName(s, allowMissingColumns=True).repartition(key).withColumn("ended", F.count_if(F.col("rank") == 0).over(before)).withColumn("begun", F.count_if(F.col("rank") == 3).over(before))
+    swept = spread(t.unionByName(s, allowMissingColumns=True), key).withColumn("ended", F.count_if(F.col("rank") == 0).over(before)).withColumn("begun", F.count_if(F.col("rank") == 3).over(before))
     ranges = swept.where("span_no IS NOT NULL").groupBy(key, "span_no").agg(F.max(F.when(F.col("rank") == 2, F.col("ended"))).cast("int").alias("first"), (F.max(F.when(F.col("rank") == 1, F.col("begun"))) - 1).cast("int").alias("last"))
     return spans.join(ranges.where("first <= last"), [key, "span_no"])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import extract
+from ..operators import extract, kb
 from ..session import table
 from .span_queries import _REC, _records, _scan
 
@@ -19,14 +19,24 @@ def phrase_segments(spark, sf_dir):
 
 
 def phrase_classify(spark, sf_dir):
-    p = extract.phrases(_records(spark, sf_dir), "rec_id", "text")
-    return p.select("rec_id", "start", "end", extract.classify(F.col("phrase"))[0].alias("kind")).where("kind IS NOT NULL")
+    return extract.classify(extract.phrases(_records(spark, sf_dir), "rec_id", "text")).select("rec_id", "start", "end", "kind", "n_lead")
+
+
+def number_units(spark, sf_dir):
+    return extract.spans.scan(_records(spark, sf_dir), "rec_id", "text", extract.NUMBER_UNIT)
 
 
 def extract_spans(spark, sf_dir):
-    """Drugs, lab pairs and phrases of whole records, stronger ones first. Linking them is `extract.concepts`."""
+    """Drugs, lab pairs and phrases of whole records, stronger ones first."""
     return extract.extract(_records(spark, sf_dir).select("rec_id", "text"), table(spark, sf_dir, "drug_gazetteer"), "rec_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (lab_colon, phrase_segments, phrase_classify, extract_spans)}
+def concepts(spark, sf_dir):
+    """The whole pipeline over the records' texts: extracted, flagged and linked concepts."""
+    icd, rx = kb.keep_codes(table(spark, sf_dir, "icd_index")), table(spark, sf_dir, "rxnorm_index")
+    c = extract.concepts(_records(spark, sf_dir).select("rec_id", "text"), table(spark, sf_dir, "drug_gazetteer"), icd, rx, "rec_id", "text")
+    return c.withColumns({x: F.array_join(x, "|") for x in ("assertions", "candidates")})
+
+
+QUERIES = {f.__name__: f for f in (lab_colon, phrase_segments, phrase_classify, number_units, extract_spans, concepts)}
 SQL = {"phrase_segments": f"WITH {_REC}, " + _scan("rec", "rec_id", r"[^\n;,]+", "seg") + " SELECT * FROM seg"}

@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..functions import tables as T
 from ..operators import semantic, spans
-from ..session import broadcast_if_small, table
+from ..session import broadcast_if_small, latest, scattered, table
 
 
 
 def _records(spark, sf_dir):
     """Records of unified, of those delivered twice the later one."""
-    w = W.partitionBy("rec_id").orderBy(F.desc("loaded_at"), "text")
-    return table(spark, sf_dir, "unified").withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+    return latest(scattered(table(spark, sf_dir, "unified"), "rec_id"), "rec_id", "loaded_at", "text")
 
 
 def _gold(spark, sf_dir):

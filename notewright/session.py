@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: A side is broadcast only when its row count, counted first, is at most this.
 BROADCAST_ROWS = 200_000
@@ -79,3 +80,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a side only if its counted size is within the bound; else Spark picks a shuffle join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def latest(df: DataFrame, key: str, by: str, *ties: str) -> DataFrame:
+    """One row per key: of keys delivered more than once the row with the largest `by`, ties by the other columns.
+    Only keys are counted over all rows; only the rows of repeated keys are ranked."""
+    twice = broadcast_if_small(df.groupBy(key).agg(F.count("*").alias("__n")).where("__n > 1").select(key))
+    w = Window.partitionBy(key).orderBy(F.desc_nulls_last(by), *ties)
+    ranked = df.join(twice, key, "left_semi").withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+    return df.join(twice, key, "left_anti").unionByName(ranked)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows shuffled by key into at least as many partitions as there are cores: text work is small in bytes, so
+    it must not be coalesced by size. The explicit shuffle also keeps a union's partitionings from being reused."""
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)
+
+
+def scattered(df: DataFrame, *keys: str) -> DataFrame:
+    """A plain scan of fewer partitions than there are cores, spread by key; others as they are."""
+    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return spread(df, *keys) if parts < df.sparkSession.sparkContext.defaultParallelism else df
