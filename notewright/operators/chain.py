@@ -57,3 +57,18 @@ def log_partition(emissions: Column, transitions: list[list[float]], start: list
         return col.map(total)
 
     return run(emissions)
+
+
+def path_score(emissions: Column, path: Column, transitions: list[list[float]], start: list[float], end: list[float]) -> Column:
+    """The score of one label path, in built-in columns; 0 for null or empty sequences."""
+    a, s, e = (F.array(*map(F.lit, x)) for x in ([v for row in transitions for v in row], start, end))
+    width = len(start)
+    at = lambda t: F.get(path, t)
+    steps = F.transform(emissions, lambda x, t: F.get(x, at(t)) + F.when(t > 0, F.get(a, at(t - 1) * width + at(t))).otherwise(F.get(s, at(t))))
+    total = F.aggregate(steps, F.lit(0.0), lambda acc, x: acc + x) + F.get(e, at(F.size(path) - 1))
+    return F.when(F.size(F.coalesce(emissions, F.array().cast("array<array<double>>"))) > 0, total).otherwise(0.0)
+
+
+def loss(emissions: Column, path: Column, transitions: list[list[float]], start: list[float], end: list[float]) -> Column:
+    """Negative log-likelihood of a label path."""
+    return log_partition(emissions, transitions, start, end) - path_score(emissions, path, transitions, start, end)

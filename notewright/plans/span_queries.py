@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import tables as T
-from ..operators import semantic, spans
+from ..operators import prep, semantic, spans
 from ..session import broadcast_if_small, latest, scattered, table
 
 
@@ -56,7 +56,7 @@ def validate_concepts(spark, sf_dir):
 
 def run_report(spark, sf_dir):
     c = table(spark, sf_dir, "out_docs").dropDuplicates(["out_id"]).select(F.explode("concepts").alias("c"))
-    return c.groupBy(F.col("c.type").alias("type")).agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.size("c.candidates") > 0, F.lit(False))).alias("with_codes"))
+    return c.groupBy(F.col("c.type").alias("type")).agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.size("c.candidates") > 0, F.lit(False))).alias("with_codes")).orderBy(F.desc("n"), "type")
 
 
 def greedy_nonoverlap(spark, sf_dir):
@@ -111,7 +111,7 @@ def label_map(spark, sf_dir):
     dim = spark.createDataFrame([*T.LABELS], "source string, label string, fine string, coarse string")
     s = _gold(spark, sf_dir).select(F.lower(F.trim("source")).alias("source"), "fine", "coarse").groupBy("source", "fine", "coarse").agg(F.count("*").alias("n"))
     j = s.alias("s").join(broadcast_if_small(dim).alias("d"), (F.col("s.source") == F.col("d.source")) & F.col("s.fine").eqNullSafe(F.col("d.fine")) & F.col("s.coarse").eqNullSafe(F.col("d.coarse")), "left")
-    return j.select("s.source", "s.fine", "s.coarse", "n", "label")
+    return j.groupBy("s.source", "s.fine", "s.coarse", "n").agg(F.array_join(F.array_sort(F.collect_list("label")), "|").alias("labels"))
 
 
 def silver_rows(spark, sf_dir):
@@ -121,6 +121,27 @@ def silver_rows(spark, sf_dir):
     return c.select("out_id", "span_no", F.col("c.position")[0].alias("start"), F.col("c.position")[1].alias("end"), F.col("c.text").alias("surface"), F.col("c.type").alias("fine"), F.lit("silver").alias("source"))
 
 
+def run_totals(spark, sf_dir):
+    """Notes, concepts, concepts that break a rule, and concepts per note."""
+    d = table(spark, sf_dir, "out_docs").dropDuplicates(["out_id"])
+    c = d.select("out_id", F.explode("concepts").alias("c")).where("c IS NOT NULL")
+    broken = ~F.coalesce(F.col("c.type").isin(*T.TYPES), F.lit(False)) | (F.size(F.coalesce("c.assertions", F.array().cast("array<string>"))) > 3)
+    n = c.agg(F.count("*").alias("n_concepts"), F.count_if(broken).alias("n_broken"))
+    return d.agg(F.count("*").alias("n_notes")).join(F.broadcast(n)).select("n_notes", "n_concepts", "n_broken", F.round(F.try_divide("n_concepts", F.greatest("n_notes", F.lit(1))), 6).alias("per_note"))
+
+
+def shard_report(spark, sf_dir):
+    """Notes per shard and how many of them gave concepts."""
+    s = prep.shards(table(spark, sf_dir, "out_docs").dropDuplicates(["out_id"]), "out_id", 4)
+    return s.groupBy("shard").agg(F.count("*").alias("n")).agg(F.count("*").alias("n_shards"), F.sum("n").alias("n_notes"), F.max("n").alias("most"))
+
+
+def code_search(spark, sf_dir):
+    """The closest labels of each query vector, each by its closest vector."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("string").alias("code"))
+    return semantic.code_search(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", "code")
+
+
 def cosine_topk(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return semantic.cosine_topk(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding")
@@ -137,7 +158,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         dict_scan_offsets, dose_spans, lab_pairs, sections, section_asof, assertions, validate_concepts, run_report, greedy_nonoverlap, ensemble_islands, ensemble_vote, ensemble_agree,
-        align_labels, bio_strict, bio_lenient, span_prf, label_map, silver_rows, cosine_topk, rerank_gate,
+        align_labels, bio_strict, bio_lenient, span_prf, label_map, silver_rows, run_totals, shard_report, code_search, cosine_topk, rerank_gate,
     )
 }
 
@@ -154,7 +175,10 @@ def _scan(src: str, key: str, pattern: str, name: str) -> str:
 
 _GOLD = """gold AS (SELECT rec_id, text, source, CAST(i - 1 AS INTEGER) AS span_no, spans[i].start AS start, spans[i]."end" AS "end", spans[i].text AS surface, spans[i].fine AS fine, spans[i].coarse AS coarse, spans[i].assertions AS assertions, spans[i].candidates AS candidates
 FROM (SELECT *, unnest(range(1, len(spans) + 1)) AS i FROM rec) WHERE spans[i] IS NOT NULL)"""
-_DICT = _scan("rec", "rec_id", "[A-Za-z]+", "w") + ', dic AS (SELECT rec_id, start, "end", name FROM w JOIN (SELECT DISTINCT name FROM drug_gazetteer WHERE length(name) >= 5) ON lower(match) = name)'
+#: Names by their first run of letters, the longest that stands in the text; the fixed names are not part of one another.
+_DICT = _scan("rec", "rec_id", "[A-Za-z]+", "w") + """, dn AS (SELECT DISTINCT name, regexp_extract(name, '^[a-z]+') AS head FROM drug_gazetteer WHERE length(name) >= 5),
+dh AS (SELECT w.rec_id, w.start, name FROM w JOIN dn ON lower(match) = head JOIN rec ON rec.rec_id = w.rec_id WHERE lower(substring(text, w.start + 1, length(name))) = name AND NOT regexp_matches(substring(text, w.start + length(name) + 1, 1), '[A-Za-z]')),
+dic AS (SELECT rec_id, start, CAST(start + length(name) AS INTEGER) AS "end", name FROM dh QUALIFY row_number() OVER (PARTITION BY rec_id, start ORDER BY length(name) DESC) = 1)"""
 _SECS = _scan("rec", "rec_id", spans.SECTION, "sc") + f", secs AS (SELECT rec_id, start AS pos, regexp_replace(regexp_extract(match, '{spans.SECTION_PARTS}', 1), '^[{T.WS}]+|[{T.WS}]+$', '', 'g') AS title FROM sc)"
 _ASOF = "sec AS (SELECT g.*, coalesce((SELECT arg_max(title, pos) FROM secs s WHERE s.rec_id = g.rec_id AND s.pos <= g.start), '') AS section FROM gold g)"
 _MODELS = f"""models AS (SELECT rec_id, 'gold' AS model, 1.0 AS weight, start, "end", coalesce(fine, coarse, 'OTHER') AS kind, 0.75 AS score, coalesce(assertions, []) AS assertions, coalesce(candidates, []) AS candidates FROM gold WHERE start < "end" UNION ALL SELECT rec_id, 'scan', 0.5, start, "end", '{T.DRUG}', 1.0, [], [] FROM dic),
@@ -200,6 +224,8 @@ runs AS (SELECT rec_id, island, min(no) AS first, max(no) AS last, min(kind) AS
 _TYPES = ", ".join(f"'{t}'" for t in T.TYPES)
 _ASSERT = ", ".join(f"'{t}'" for t in T.ASSERTIONS)
 
+DOSE_SQL = spans.DOSE
+
 SQL = {
     "dict_scan_offsets": f"WITH {_REC}, {_DICT} SELECT * FROM dic",
     "lab_pairs": f"WITH {_REC}, " + _scan("rec", "rec_id", spans.LAB_NAMED, "lab") + " SELECT * FROM lab",
@@ -225,5 +251,15 @@ SQL = {
     "silver_rows": "SELECT out_id, CAST(i - 1 AS INTEGER) AS span_no, concepts[i].position[1] AS start, concepts[i].position[2] AS \"end\", concepts[i].text AS surface, concepts[i].type AS fine, 'silver' AS source FROM (SELECT *, unnest(range(1, len(concepts) + 1)) AS i FROM (SELECT DISTINCT ON (out_id) * FROM out_docs)) WHERE len(concepts[i].position) = 2",
     "cosine_topk": "WITH s AS (SELECT q.vec_id AS query, e.vec_id AS id, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id) SELECT query, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5",
     "rerank_gate": "SELECT out_id, CAST(i - 1 AS INTEGER) AS concept_no, CASE WHEN len(concepts[i].candidates) = 1 THEN coalesce(concepts[i].candidates[1], '') ELSE coalesce(concepts[i].candidates[2], '') END AS chosen FROM (SELECT *, unnest(range(1, len(concepts) + 1)) AS i FROM (SELECT DISTINCT ON (out_id) * FROM out_docs)) WHERE len(concepts[i].candidates) > 0",
+    "run_totals": f"WITH d AS (SELECT DISTINCT ON (out_id) * FROM out_docs), c AS (SELECT unnest(concepts) AS c FROM d) SELECT (SELECT count(*) FROM d) AS n_notes, count(*) AS n_concepts, count(*) FILTER (coalesce(c.type NOT IN ({_TYPES}), true) OR coalesce(len(c.assertions), 0) > 3) AS n_broken, round(count(*) / greatest((SELECT count(*) FROM d), 1), 6) AS per_note FROM c WHERE c IS NOT NULL",
+    "shard_report": "WITH d AS (SELECT count(DISTINCT out_id) AS n FROM out_docs) SELECT CAST(4 AS BIGINT) AS n_shards, n AS n_notes, CAST(ceil(n / 4) AS BIGINT) AS most FROM d",
+    "code_search": "WITH s AS (SELECT q.vec_id AS query, e.vec_id AS id, CAST(e.label AS VARCHAR) AS code, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 WHERE e.label IS NOT NULL), "
+    "b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query, code ORDER BY score DESC, id) = 1) SELECT query, code, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM b) WHERE rank <= 5",
+    "dose_spans": f"WITH {_REC}, {_DICT}, g AS (SELECT dic.*, regexp_extract(substring(text, \"end\" + 1), '^(?:{DOSE_SQL})') AS tail FROM dic JOIN rec USING (rec_id)) SELECT rec_id, start, CAST(\"end\" + length(regexp_replace(tail, '[{T.WS}]+$', '')) AS INTEGER) AS \"end\", name FROM g",
+    "label_map": "WITH " + _REC + ", " + _GOLD + ", d AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in row) + ")" for row in T.LABELS) + ") t(source, label, fine, coarse)), s AS (SELECT lower(trim(source)) AS source, fine, coarse, count(*) AS n FROM gold GROUP BY 1, 2, 3) "
+    "SELECT s.source, s.fine, s.coarse, n, coalesce(string_agg(label, '|' ORDER BY label), '') AS labels FROM s LEFT JOIN d ON s.source = d.source AND s.fine IS NOT DISTINCT FROM d.fine AND s.coarse IS NOT DISTINCT FROM d.coarse GROUP BY 1, 2, 3, 4",
 }
-
+_HEAD_, _TAIL_ = SQL["dose_spans"].rsplit(" SELECT rec_id, start, CAST", 1)
+SQL["span_prf"] = f"""{_HEAD_}, p AS (SELECT DISTINCT rec_id, start, CAST{_TAIL_.replace(', name FROM g', ' FROM g')}), {_GOLD}, go AS (SELECT DISTINCT rec_id, start, "end" FROM gold WHERE fine = '{T.DRUG}'),
+c AS (SELECT count(*) FILTER (p.rec_id IS NOT NULL AND go.rec_id IS NOT NULL) AS tp, count(*) FILTER (go.rec_id IS NULL) AS fp, count(*) FILTER (p.rec_id IS NULL) AS fn FROM p FULL JOIN go USING (rec_id, start, "end"))
+SELECT tp, fp, fn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM c"""

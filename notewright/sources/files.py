@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+import functools
+import io
+import re
+import zipfile
+from collections.abc import Callable, Iterator
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import tables as T
 from ..functions import text as X
+from ..operators import spans as S
+from ..session import broadcast_if_small
 
 
 def read_notes(spark: SparkSession, folder: str, glob: str = "*.txt") -> DataFrame:
     """(name, number, text): one row per file, the whole file as text; `number` is the figures of the name,
-    the order in which notes are numbered."""
+    the order in which notes are numbered. Where no file matches `glob`, all files are read."""
     raw = spark.read.option("pathGlobFilter", glob).text(folder, wholetext=True)
+    if glob != "*" and not raw.inputFiles():  # no such file: all files
+        raw = spark.read.text(folder, wholetext=True)
     raw = raw.select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
     return raw.select("name", X.file_number(F.col("name")).alias("number"), "text")
 
@@ -30,11 +42,64 @@ def read_rrf(spark: SparkSession, path: str, sources: tuple[str, ...] = ("RXNORM
     return out.where("str <> '' AND key <> ''")
 
 
+def _code_rows(raw: DataFrame) -> DataFrame:
+    """(code, en, vn, key_vn, key_en, level) of the rows (code, en, vn) whose code is kept; missing names are ''."""
+    code = F.trim("code")
+    en, vn = (X.strip(F.coalesce(c, F.lit(""))) for c in ("en", "vn"))
+    return raw.where((F.length(code) >= 3) & code.rlike(r"^\p{L}")).select(code.alias("code"), en.alias("en"), vn.alias("vn"), X.norm_key(vn).alias("key_vn"), X.norm_key(en).alias("key_en"), X.code_level(code).alias("level"))
+
+
 def read_code_sheet(spark: SparkSession, path: str) -> DataFrame:
     """(code, en, vn, key_vn, key_en, level) of a code list exported as CSV with columns code, name_en, name_vn."""
     raw = spark.read.csv(path, header=True)
-    code = F.trim("code")
-    return raw.where((F.length(code) >= 3) & code.rlike(r"^\p{L}")).select(code.alias("code"), F.col("name_en").alias("en"), F.col("name_vn").alias("vn"), X.norm_key(F.col("name_vn")).alias("key_vn"), X.norm_key(F.col("name_en")).alias("key_en"), X.code_level(code).alias("level"))
+    return _code_rows(raw.select("code", F.col("name_en").alias("en"), F.col("name_vn").alias("vn")))
+
+
+def _sheet_rows(content: bytes, columns: tuple[int, ...]) -> Iterator[list[str | None]]:
+    """Text cells of some columns of a workbook's first sheet; numbers and empty cells are null."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        shared: list[str] = []
+        if "xl/sharedStrings.xml" in z.namelist():
+            shared = ["".join(t.text or "" for t in si.iter() if t.tag.endswith("}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if si.tag.endswith("}si")]
+        sheet = min((n for n in z.namelist() if n.startswith("xl/worksheets/") and n.endswith(".xml")), key=lambda n: (len(n), n))
+        for _, row in ElementTree.iterparse(z.open(sheet)):
+            if not row.tag.endswith("}row"):
+                continue
+            cells: dict[int, str] = {}
+            for place, c in enumerate(row):
+                letters = re.match(r"[A-Z]*", c.get("r", "")).group()
+                at = functools.reduce(lambda n, ch: 26 * n + ord(ch) - 64, letters, 0) - 1 if letters else place
+                texts = [x.text or "" for x in c.iter() if x.tag.endswith("}t") or x.tag.endswith("}v")]
+                if c.get("t") == "s" and texts:
+                    cells[at] = shared[int(texts[0])]
+                elif c.get("t") in ("inlineStr", "str"):
+                    cells[at] = "".join(texts)
+            row.clear()
+            yield [cells.get(k) for k in columns]
+
+
+def read_code_workbook(spark: SparkSession, path: str, columns: tuple[int, int, int] = (17, 19, 21)) -> DataFrame:
+    """(code, en, vn, key_vn, key_en, level) of the first sheet of .xlsx workbooks; `columns` are the places from 0 of
+    the code, the English and the Vietnamese name. Cells that are no text are null. A workbook is one task."""
+
+    def run(batches):
+        for b in batches:
+            for content in b["content"]:
+                rows = list(_sheet_rows(content, columns))
+                yield pd.DataFrame(rows, columns=["code", "en", "vn"], dtype=object)
+
+    raw = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "code string, en string, vn string")
+    return _code_rows(raw.where("code IS NOT NULL"))
+
+
+def cached(spark: SparkSession, folder: str, version: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table kept under folder/version, made and written first if it is not there: e.g. embeddings of a
+    knowledge base, whose version names the cache."""
+    path = f"{folder}/{version}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def read_conll(spark: SparkSession, path: str) -> DataFrame:
@@ -76,3 +141,40 @@ def document_json(concepts: DataFrame, key: str) -> DataFrame:
     """(key, json): the concepts (key, start, …) of each document as one JSON array in order of start."""
     cols = [c for c in concepts.columns if c not in (key, "start")]
     return concepts.groupBy(key).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("start", *cols))), lambda x: F.struct(*(x[c].alias(c) for c in cols)))).alias("json"))
+
+
+def conll_to_unified(tokens: DataFrame, source: str, labels: DataFrame) -> DataFrame:
+    """(file, sent, text, source, spans) of tagged tokens (file, sent, no, token, tag): surfaces joined by blanks, spans
+    of the tags (an I without its B opens one too) with the labels' meaning for the source (see `meaning`); spans
+    without one are dropped. Sentences without spans have an empty list."""
+    key = ["file", "sent"]
+    placed = conll_offsets(tokens, key).withColumn("k", F.concat_ws("\n", *key))
+    surface = X.surface(F.col("token"))
+    text = placed.groupBy("k", *key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", surface.alias("t")))), lambda x: x["t"]), " ").alias("text"))
+    tags = placed.withColumn("label", F.when(F.col("tag").rlike("^[BI]-.+$"), F.col("tag")).otherwise("O"))
+    runs = S.bio_decode(tags.select("k", "no", "label"), "k", lenient=True)
+    edge = placed.select("k", "no", "start", "end")
+    s = runs.join(edge.select("k", F.col("no").alias("first"), "start"), ["k", "first"]).join(edge.select("k", F.col("no").alias("last"), "end"), ["k", "last"])
+    s = meaning(s.withColumn("source", F.lit(source)).withColumnRenamed("kind", "label"), labels).where(F.coalesce("fine", "coarse").isNotNull())
+    spans = s.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("start", "end", "fine", "coarse"))).alias("s"))
+    none = F.array().cast("array<struct<start:int,end:int,fine:string,coarse:string>>")
+    full = F.transform(F.coalesce("s", none), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.substring("text", x["start"] + 1, x["end"] - x["start"]).alias("text"), x["fine"].alias("fine"), x["coarse"].alias("coarse"), F.array().cast("array<string>").alias("assertions")))
+    return text.join(spans, "k", "left").select(*key, "text", F.lit(source).alias("source"), full.alias("spans"))
+
+
+def meaning(df: DataFrame, labels: DataFrame) -> DataFrame:
+    """`df` (..., source, label) with `fine` and `coarse`, null for labels that the source's map does not know. Labels
+    are compared in upper case, but for source i2b2. `labels` has (source, label, fine, coarse)."""
+    asked = F.when(F.col("source") == "i2b2", F.col("label")).otherwise(F.upper("label"))
+    known = broadcast_if_small(labels.select("source", F.col("label").alias("__l"), "fine", "coarse"))
+    return df.withColumn("__l", asked).join(known, ["source", "__l"], "left").drop("__l")
+
+
+def label_table(spark: SparkSession) -> DataFrame:
+    """(source, label, fine, coarse) of the known corpora."""
+    return spark.createDataFrame([*T.LABELS], "source string, label string, fine string, coarse string")
+
+
+def write_documents(concepts: DataFrame, key: str, folder: str) -> None:
+    """One JSON file per document, named by its key, as folder/key=<key>/part-*.txt."""
+    document_json(concepts, key).write.partitionBy(key).mode("errorifexists").text(folder)

@@ -83,7 +83,9 @@ def test_bio(spark):
 def test_edits(spark):
     text = "Bệnh nhân được chẩn đoán trào ngược dạ dày, dùng atenolol"
     df = spark.createDataFrame([(1, text, [(25, 42, "CHẨN_ĐOÁN"), (49, 57, "THUỐC")])], "k int, t string, spans array<struct<start:int,end:int,fine:string>>")
-    out = prep.replace_entities(df, "k", "t", "spans", F.array(F.lit("viêm phổi")), "CHẨN_ĐOÁN", p=1.0).first()
+    names = spark.createDataFrame([("CHẨN_ĐOÁN", "viêm phổi")], "kind string, name string")
+    df = df.withColumn("spans", F.transform("spans", lambda s: s.withField("text", F.substring("t", s["start"] + 1, s["end"] - s["start"]))))
+    out = prep.inserted_names(df, names, "k", "t", "spans", p=1.0).first()
     assert [(s.start, s.end, s.text) for s in out.spans] == [(25, 34, "viêm phổi"), (41, 49, "atenolol")]
 
 
