@@ -8,8 +8,15 @@ from ..operators import nested
 from ..session import table
 
 
-def _rows(spark, sf_dir):
-    return nested.flat_rows(*(table(spark, sf_dir, t) for t in ("unified", "out_docs", "raw_annot")))
+def _rows(spark, sf_dir, attributes=False):
+    return nested.flat_rows(*(table(spark, sf_dir, t) for t in ("unified", "out_docs", "raw_annot")), attributes)
+
+
+def _related(name):
+    def query(spark, sf_dir):
+        return nested.related(_rows(spark, sf_dir, True), name)
+
+    return query
 
 
 def p2_found(spark, sf_dir):
@@ -30,7 +37,14 @@ def p2_typed(spark, sf_dir):
     return u.unionByName(o).select("tbl", "rec_key", "span_no", "leaf", "leaf_no", "leaf_value")
 
 
-QUERIES = {"p2_found": p2_found, "p2_variants": p2_variants, "p2_typed": p2_typed}
+def p2_typed_items(spark, sf_dir):
+    """The items of the two typed tables with their attributes, which SQL can state."""
+    rows = _rows(spark, sf_dir, True).where("tbl <> 'raw_annot' AND leaf = 'span'")
+    place = [F.coalesce(c, F.lit(-1)).alias(c) for c in ("start", "end")]
+    return rows.select("tbl", "rec_key", "span_no", *place, "text", "fine", "coarse", "type")
+
+
+QUERIES = {"p2_found": p2_found, "p2_variants": p2_variants, "p2_typed": p2_typed, "p2_typed_items": p2_typed_items, **{f"p2_{n}": _related(n) for n in nested.TABLES}}
 
 _TYPED = """
 WITH recs AS (
@@ -49,4 +63,9 @@ WITH recs AS (
 )
 SELECT tbl, rec_key, span_no, leaf, CAST(leaf_no AS INTEGER) AS leaf_no, leaf_value FROM leafs
 """
-SQL = {"p2_typed": _TYPED}
+SQL = {
+    "p2_typed": _TYPED,
+    "p2_typed_items": """WITH u AS (SELECT DISTINCT rec_id, spans, unnest(range(1, len(spans) + 1)) AS i FROM (SELECT DISTINCT rec_id, spans FROM unified)), o AS (SELECT out_id, concepts, unnest(range(1, len(concepts) + 1)) AS i FROM (SELECT DISTINCT out_id, concepts FROM out_docs))
+SELECT 'unified' AS tbl, rec_id AS rec_key, CAST(i - 1 AS INTEGER) AS span_no, coalesce(spans[i].start, -1) AS start, coalesce(spans[i]."end", -1) AS "end", spans[i].text AS text, spans[i].fine AS fine, spans[i].coarse AS coarse, CAST(NULL AS VARCHAR) AS type FROM u WHERE spans[i] IS NOT NULL
+UNION ALL SELECT 'out_docs', out_id, CAST(i - 1 AS INTEGER), coalesce(concepts[i].position[1], -1), coalesce(concepts[i].position[2], -1), concepts[i].text, NULL, NULL, concepts[i].type FROM o WHERE concepts[i] IS NOT NULL""",
+}

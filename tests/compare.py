@@ -6,13 +6,14 @@ import sys
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 
 
 def rows(frame):
     cols = sorted(frame.columns)
     out = []
     for r in frame[cols].itertuples(index=False):
-        out.append(tuple(None if x is None or x != x else round(x, 6) if isinstance(x, float) else str(x) for x in (v if not hasattr(v, "tolist") else str(v.tolist()) for v in r)))
+        out.append(tuple(None if x is None or x is pd.NA or x != x else round(x, 6) if isinstance(x, float) else str(x) for x in (v if not hasattr(v, "tolist") else str(v.tolist()) for v in r)))
     return sorted(out, key=str)
 
 

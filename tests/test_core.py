@@ -126,7 +126,36 @@ def test_items_at_any_depth():
     for k in range(300):
         root = {"sections": [{"title": str(k), "spans": [{"start": -k}]}, root]}
     got = nested.items(root)
-    assert [x and x["start"] for x in got] == [*range(-299, 1), 1, None]
+    assert [x and x["start"] for x, _ in got] == [*range(-299, 1), 1, None] and got[-1][1] == "t"
+
+
+def test_deep_payloads():
+    """Beyond the reader's own depth a payload is still read, and a broken one is not."""
+    import json
+
+    depth = 20_000
+    text = '{"note":' * depth + '{"sections":[{"title":"t","concepts":[{"text":"c","links":[{"kb":"k","code":"Q","score":0.5}]},null]}]}' + "}" * depth
+    rows = list(nested.routed(1, text))
+    assert [r[2:6] for r in rows] == [("note", "record", "record", 0), ("note", "nested_concept", "span", 0), ("note", "nested_concept", "candidate", 0)]
+    assert rows[1][11] == "c" and rows[1][15] == "t" and rows[2][6:9] == ("Q", "k", 0.5)
+    assert [r[2] for r in nested.routed(1, text[:-1])] == ["unreadable"]
+    for x in ('{"a": [1, {"b": "}"}, [], {}, -2.5e1, true, null], "c": {}}', "[]", ' {"k" : "v"} ', '"s"', "[[[1]], 2]"):
+        assert nested._loads_deep(x) == json.loads(x)
+    for x in ("[1,]", "{,}", '{"a" 1}', "[1 2]", "{]", "[}", "[1]]", "", '{"a":1,}'):
+        try:
+            nested._loads_deep(x)
+            raise AssertionError(x)
+        except ValueError:
+            pass
+
+
+def test_automaton():
+    cases = [
+        ({"text": "a"}, "record"), ({"text": "a", "spans": []}, "record"), ([{"text": "a"}], "list<concept>"), ([None, 1, {"label": "x"}], "list<null|scalar|span>"), ({"note": {"sections": []}}, "note"), ({"note": {"text": "a"}}, "record"),
+        ({"title": "t", "concepts": []}, "section"), ({"start": 1, "spans": []}, "span"), ({"context": {}}, "nested_concept"), ({"code": "A", "kb": "x"}, "link"), ({"code": "A"}, "concept"), ({}, "object"), ({"zz": 1}, "object"),
+    ]
+    for tree, want in cases[:5] + cases[6:]:
+        assert nested.variant(tree, nested.states(tree)) == want, tree
 
 
 def test_nested(spark):
@@ -138,7 +167,14 @@ def test_nested(spark):
         (4, "{broken"), (5, None), (6, ""), (7, "{}"), (8, "null"), (9, "3"),
     ]
     df = spark.createDataFrame(rows, "raw_id bigint, payload string").withColumn("leaf", F.lit("clash"))
-    got = sorted((r.rec_key, r.span_no, r.leaf, r.leaf_no, r.leaf_value) for r in nested.flatten_json(df).collect())
+    rows = nested.flatten_json(df).cache()
+    assert sorted(r.rec_key for r in rows.where("variant = 'unreadable'").collect()) == [4, 5, 6, 8, 9] and rows.where("leaf = 'record'").count() == 9
+    tabled = rows.withColumn("tbl", F.lit("r"))
+    assert [tuple(r) for r in nested.related(tabled, nested.NESTED).collect()] == [("r", 3, 0, 0, 1, "c", None, "u")]
+    assert [(r.rec_key, r.type) for r in nested.related(tabled, nested.CONCEPT).collect()] == [(2, "T")]
+    assert sorted((r.rec_key, r.span_no, r.start, r.end) for r in nested.related(tabled, nested.SPAN).collect()) == [(1, 0, 0, 1), (1, 2, 0, 1)]
+    assert {(r.leaf_value, r.kb) for r in nested.related(tabled, "candidates").collect()} == {("X", None), ("Y", None), ("Z", None), ("Q", "k")}
+    got = sorted((r.rec_key, r.span_no, r.leaf, r.leaf_no, r.leaf_value) for r in rows.where("leaf <> 'record'").collect())
     assert got == [
         (1, 0, "assertion", 0, "isNegated"), (1, 0, "candidate", 0, "X"), (1, 0, "candidate", 3, "Y"), (1, 0, "span", 0, ""), (1, 2, "span", 0, ""),
         (2, 0, "candidate", 0, "Z"), (2, 0, "span", 0, ""), (3, 0, "assertion", 0, "isFamily"), (3, 0, "candidate", 0, "Q"), (3, 0, "span", 0, ""),
