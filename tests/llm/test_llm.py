@@ -213,6 +213,29 @@ def test_match(spark):
     got = {r.out_id: r.code for r in match.link_typed(df, icd, rx).collect()}
     assert got == {i: c for i, (_, c, _) in enumerate(given)}
     assert match.link_typed(df.limit(0), icd, rx).count() == 0
+    # the way for long entry lists gives the same
+    values = match.typed_values(df)
+    pick = lambda d: sorted(tuple(r) for r in d.select("kind", "value", "code", "name", "cost").collect())
+    assert pick(match.match_values(values, icd, rx)) == pick(match.match_values(values, icd, rx, most_entries=0))
+
+
+def test_similarity_join_against_brute_force(spark):
+    """Both ways find exactly the pairs at the threshold, with frequent trigrams and ties."""
+    rng = np.random.default_rng(8)
+    parts = ["viem", "benh", "ly", "song", "toang", "len", "man", "tinh", "u", "hep"]
+    names = sorted({" ".join(rng.choice(parts, rng.integers(1, 5))) for _ in range(60)})
+    typed = sorted({" ".join(rng.choice([*parts, "sogn", "x1", "manh"], rng.integers(1, 5))) for _ in range(60)})
+    sets = spark.createDataFrame([(0, i, n) for i, n in enumerate(names)] + [(1, i, n) for i, n in enumerate(typed)], "side int, id bigint, c string").withColumn("g", match.grams(F.col("c")))
+    sets = sets.withColumn("kind", F.lit("k"))
+    entries = sets.where("side = 0").select("kind", F.col("id").alias("eid"), "g", F.array(F.replace("c", F.lit(" "), F.lit(""))).alias("variants"), F.lit(9).alias("core"))
+    values = sets.where("side = 1").select("kind", F.col("id").alias("vid"), "g", F.replace("c", F.lit(" "), F.lit("")).alias("s"))
+    g = {(r.side, r.id): set(r.g) for r in sets.collect()}
+    for threshold in (0.3, 0.6, 1.0):
+        want = {(v, e) for v in range(len(typed)) for e in range(len(names)) if len(g[1, v] & g[0, e]) >= threshold * len(g[1, v] | g[0, e]) - 1e-9}
+        joined = match.candidates(values, entries, threshold, most_entries=0).collect()
+        assert {(r.vid, r.eid) for r in joined} == want and len(joined) == len(want)
+        blocks = match.candidates(values, entries, threshold, edits=9.0, most_edits=99.0).collect()
+        assert {(r.vid, r.eid) for r in blocks} == want and len(blocks) == len(want)
 
 
 def test_schedule():
