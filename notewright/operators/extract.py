@@ -19,10 +19,10 @@ from . import linking, spans
 LAB_UNITS = ("mg/dl", "mmol/l", "g/dl", "g/l", "u/l", "iu/l", "ng/ml", "pg/ml", "µmol/l", "umol/l", "mmhg", "lần/phút", "l/ph", "/µl", "/ul", r"10\^\d", "%", "bpm", "mm", "cm", "ml", "kg", "°c", "mcg", "mg")
 _NAME = rf"[A-Za-zÀ-ỹ][A-Za-zÀ-ỹ0-9%()/{T.WS}.\-]{{0,40}}?"
 _VALUE = rf"[<>]?[{T.WS}]*[0-9]+(?:[.,][0-9]+)?[{T.WS}]*(?:" + "|".join(LAB_UNITS).replace(r"\d", "[0-9]") + ")?"
-LAB_COLON = rf"(?i){_NAME}[{T.WS}]*[:=][{T.WS}]*{_VALUE}"
-LAB_COLON_PARTS = rf"(?i)^({_NAME})([{T.WS}]*[:=][{T.WS}]*)({_VALUE})"
+LAB_COLON = rf"(?iu){_NAME}[{T.WS}]*[:=][{T.WS}]*{_VALUE}"
+LAB_COLON_PARTS = rf"(?iu)^({_NAME})([{T.WS}]*[:=][{T.WS}]*)({_VALUE})"
 #: A number with its unit.
-NUMBER_UNIT = rf"(?i)\b[0-9]+(?:[.,][0-9]+)?[{T.WS}]*(?:" + "|".join(LAB_UNITS).replace(r"\d", "[0-9]") + r")\b"
+NUMBER_UNIT = rf"(?iu)\b[0-9]+(?:[.,][0-9]+)?[{T.WS}]*(?:" + "|".join(LAB_UNITS).replace(r"\d", "[0-9]") + r")\b"
 
 # Parts of a key that make a phrase a diagnosis, phrases that are none, and what leads to one.
 DIAGNOSIS_PARTS = (
