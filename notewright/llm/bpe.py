@@ -19,14 +19,15 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 
 
 @lru_cache(maxsize=4)
+def parse_ranks(data: bytes) -> dict[bytes, int]:
+    """Ranks of a vocabulary file: a base64 token and its rank on each line."""
+    lines = (line.split() for line in data.splitlines() if line.strip())
+    return {base64.b64decode(token): int(rank) for token, rank in lines}
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
-    ranks = {}
     with open(path, "rb") as f:
-        for line in f:
-            if line.strip():
-                token, rank = line.split()
-                ranks[base64.b64decode(token)] = int(rank)
-    return ranks
+        return parse_ranks(f.read())
 
 
 class RankQueue:

@@ -2,29 +2,34 @@
 
 The aimed total is what the planned sources hold once. Each source gets its weight of it, at most its whole
 supply times `max_repeat`. The documents of a source are laid end to end in a hashed order, copy after copy,
-and cut into blocks of equal size; blocks are then interleaved by Pfair scheduling: block k of a source with m
-of M blocks is released at slot floor(kM/m) and due at ceil((k+1)M/m), and each slot takes the released block
-that is due first. The share of every source then deviates by less than one block at any point.
+and cut into blocks of `block_tokens` tokens; blocks are then interleaved by Pfair scheduling: block k of a source
+with m of M blocks is released at slot floor(kM/m) and due at ceil((k+1)M/m), and each slot takes the released
+block that is due first. The share of every source then deviates by less than one block at any point, whatever
+the corpus; `shares` reports the most that it does.
 
 Offsets come from bucket sums and a running sum inside a bucket, so no task holds a whole source however hot
-it is. The schedule has at most `blocks` slots and one per source more; that bound is what lets it be made on
-the driver and broadcast.
+it is. The schedule is a stream of slots that one executor task makes with a heap of one entry per source; it is
+written to the shared folder and joined by (source, block). Its length is the corpus over the block size: for a corpus
+of many TB give a larger `block_tokens`.
 
 Defined results: sources are compared without case and outer blanks; documents of unplanned or null sources
 and documents without tokens (null, empty) take no part; a source without documents gets nothing and its
 share shows it; a source whose supply falls short stays short, the others keep their weight of the aimed
-total; equal documents are different documents.
+total; equal documents are different documents. A document longer than a block counts where it begins.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..session import cut
+from ..session import broadcast_if_small, cut
 from .bpe import DEFAULT_DIR
 from .tokenize import encode
 
@@ -51,22 +56,45 @@ def quotas(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     return q.withColumn("aimed", aimed).withColumn("quota", F.least("aimed", F.col("supply") * F.col("max_repeat")))
 
 
-def schedule(blocks: dict[str, int]) -> list[tuple[int, str, int]]:
+def schedule(blocks: dict[str, int]) -> Iterator[tuple[int, str, int]]:
     """(slot, source, block) by earliest deadline among the released blocks; ties by source."""
     total = sum(blocks.values())
     waiting = [(0, s, 0) for s, m in sorted(blocks.items()) if m > 0]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
-    out = []
     for slot in range(total):
         while waiting and waiting[0][0] <= slot:
             _, s, k = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(k + 1) * total // blocks[s]), s, k))
         _, s, k = heapq.heappop(ready)
-        out.append((slot, s, k))
+        yield slot, s, k
         if k + 1 < blocks[s]:
             heapq.heappush(waiting, ((k + 1) * total // blocks[s], s, k + 1))
-    return out
+
+
+def _scheduled(blocks: dict[str, int], rows: int = 100_000):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                slots = schedule(blocks)
+                while part := list(itertools.islice(slots, rows)):
+                    slot, source, block = zip(*part, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array(source), pa.array(block, pa.int64())], names=["slot", "source", "block"])
+
+    return run
+
+
+def slots(spark: SparkSession, quota: DataFrame, block_tokens: int) -> DataFrame:
+    """(slot, source, block, last, before, after): the schedule; `before` and `after` are the blocks that the source is
+    ahead of its share just before and just after the slot, its extremes."""
+    rows = [(r.source, r.quota) for r in quota.select("source", "quota").collect()]  # one row per planned source
+    blocks = {s: -(-q // block_tokens) for s, q in rows if q > 0}
+    made = cut(spark.range(1, numPartitions=1).select("id").mapInArrow(_scheduled(blocks), "slot bigint, source string, block bigint"))
+    if not blocks:
+        return made.select("*", *(F.lit(0).alias(c) for c in ("last", "before", "after")))
+    count = F.coalesce(*(F.when(F.col("source") == s, F.lit(m)) for s, m in blocks.items()))
+    share = count / F.lit(sum(blocks.values()))
+    return made.select("*", (count - 1).alias("last"), (F.col("block") - share * F.col("slot")).alias("before"), (F.col("block") + 1 - share * (F.col("slot") + 1)).alias("after"))
 
 
 def positions(sizes: DataFrame, seed: int = 7, bucket_docs: int = 20_000) -> DataFrame:
@@ -93,32 +121,34 @@ def chosen(sizes: DataFrame, quota: DataFrame, seed: int = 7) -> DataFrame:
     return p.select("source", "copy_no", "doc_id", "n_tokens", (F.col("copy_no") * F.col("supply") + F.col("at")).alias("at"))
 
 
-def mixture(docs: DataFrame, plan: DataFrame, blocks: int = 4096, seed: int = 7) -> DataFrame:
+#: Tokens of a block.
+BLOCK_TOKENS = 4096
+
+
+def mixture(docs: DataFrame, plan: DataFrame, block_tokens: int = BLOCK_TOKENS, seed: int = 7) -> DataFrame:
     """(slot, source, copy_no, doc_id, n_tokens, at_token): order by (slot, at_token) to read the mixture;
     `at_token` counts inside the source."""
     sizes = sized(docs, plan)
     quota = quotas(sizes, plan)
-    rows = [(r.source, r.quota) for r in quota.select("source", "quota").collect()]  # one row per planned source
-    size = max(1, -(-sum(q for _, q in rows) // blocks))
-    table = [(slot, s, k) for slot, s, k in schedule({s: -(-q // size) for s, q in rows if q > 0})]
-    spark = docs.sparkSession
-    slots = spark.createDataFrame(table, "slot int, source string, block bigint")
+    s = slots(docs.sparkSession, quota, block_tokens)
     # a copy that starts at the quota's very end stays in the last block
-    last = slots.groupBy("source").agg(F.max("block").alias("last"))
-    c = chosen(sizes, quota, seed).join(F.broadcast(last), "source").withColumn("block", F.least(F.floor(F.col("at") / size), F.col("last")))
-    return c.join(F.broadcast(slots), ["source", "block"]).select("slot", "source", "copy_no", "doc_id", "n_tokens", F.col("at").alias("at_token"))
+    last = F.broadcast(s.groupBy("source").agg(F.max("last").alias("last")))  # one row per planned source
+    c = chosen(sizes, quota, seed).join(last, "source").withColumn("block", F.least(F.floor(F.col("at") / block_tokens), F.col("last")))
+    return c.join(broadcast_if_small(s.select("slot", "source", "block")), ["source", "block"]).select("slot", "source", "copy_no", "doc_id", "n_tokens", F.col("at").alias("at_token"))
 
 
-def shares(docs: DataFrame, plan: DataFrame, seed: int = 7) -> DataFrame:
-    """(source, weight, max_repeat, n_docs, supply, aimed, actual, copies, most_copies, actual_share,
-    share_of_aim): what each source gives, and its share of the mixture and of the aimed total."""
+def shares(docs: DataFrame, plan: DataFrame, block_tokens: int = BLOCK_TOKENS, seed: int = 7) -> DataFrame:
+    """(source, weight, max_repeat, n_docs, supply, aimed, actual, copies, most_copies, actual_share, share_of_aim,
+    blocks, most_off): what each source gives, its share of the mixture and of the aimed total, its blocks and the most
+    blocks that it is ahead of or behind its share of the slots at any point."""
     sizes = sized(docs, plan)
     quota = quotas(sizes, plan)
     got = chosen(sizes, quota, seed).groupBy("source").agg(F.sum("n_tokens").alias("actual"), F.count("*").alias("copies"), (F.max("copy_no") + 1).alias("most_copies"))
-    out = quota.join(F.broadcast(got), "source", "left").fillna(0, ["actual", "copies", "most_copies"])
+    off = slots(docs.sparkSession, quota, block_tokens).groupBy("source").agg(F.count("*").alias("blocks"), F.round(F.max(F.greatest(F.abs("before"), F.abs("after"))), 6).alias("most_off"))
+    out = quota.join(F.broadcast(got), "source", "left").join(F.broadcast(off), "source", "left").fillna(0, ["actual", "copies", "most_copies", "blocks", "most_off"])
     whole = W.partitionBy()  # one row per planned source
     return out.select(
         "source", "weight", "max_repeat", "n_docs", "supply", "aimed", "actual", "copies", "most_copies",
         F.round(F.try_divide("actual", F.sum("actual").over(whole)), 6).alias("actual_share"),
-        F.round(F.try_divide("actual", "total"), 6).alias("share_of_aim"),
+        F.round(F.try_divide("actual", "total"), 6).alias("share_of_aim"), "blocks", "most_off",
     )

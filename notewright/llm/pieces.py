@@ -83,15 +83,20 @@ def strengths(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
 
 
 class RangeMax:
-    """Sparse table over strengths; `best` gives the strongest position of [lo, hi], ties to the right or left."""
+    """Sparse table over strengths, made for one stretch of the text at a time, so that its size does not grow with
+    the text; queries are at most `widest` wide and may move back by as much. `best` gives the strongest position of [lo, hi], ties to the right or left."""
 
-    def __init__(self, strength: np.ndarray, widest: int):
-        n = len(strength)
-        self.n = n
-        pos = np.arange(n, dtype=np.int64)
-        s = strength.astype(np.int64) * n
-        self.right = self._table(s + pos, widest)
-        self.left = self._table(s + (n - 1 - pos), widest)
+    def __init__(self, strength: np.ndarray, widest: int, stretch: int = 1 << 16):
+        self.strength, self.widest, self.stretch = strength, widest, max(stretch, 4 * widest)
+        self._read(0)
+
+    def _read(self, base: int) -> None:
+        part = self.strength[base : base + self.stretch]
+        self.base, self.n = base, len(part)
+        pos = np.arange(self.n, dtype=np.int64)
+        s = part.astype(np.int64) * self.n
+        self.right = self._table(s + pos, self.widest)
+        self.left = self._table(s + (self.n - 1 - pos), self.widest)
 
     @staticmethod
     def _table(key: np.ndarray, widest: int) -> list[np.ndarray]:
@@ -104,11 +109,14 @@ class RangeMax:
         return table
 
     def best(self, lo: int, hi: int, rightward: bool = True) -> int:
+        if lo < self.base or hi >= self.base + self.n:
+            self._read(max(0, lo - 2 * self.widest))
+        lo, hi = lo - self.base, hi - self.base
         table = self.right if rightward else self.left
         level = (hi - lo + 1).bit_length() - 1
         row = table[level]
         at = int(max(row[lo], row[hi - (1 << level) + 1]) % self.n)
-        return at if rightward else self.n - 1 - at
+        return self.base + (at if rightward else self.n - 1 - at)
 
 
 def cuts(text: str, spans: list[tuple[int, int]], limit: int = 1000, overlap: int = 100, least: int | None = None) -> list[tuple[int, int]]:

@@ -42,7 +42,8 @@ _ITEM = re.compile(r"\s*(?:[-*•–+‣◦]\s+|\(?\d{1,3}[.)]\s+|\(?[a-zA-Z][)]
 _MARK = re.compile(r"[" + re.escape(_END) + r"]+|[" + re.escape("".join(_QUOTES)) + r"]")
 _THAI_GAP = re.compile(r"(?<=[฀-๿])[^\S\n\r]+(?=[฀-๿])")
 _THAI = re.compile(r"[\u0e00-\u0e7f]")
-_TOKEN_MAX = 24
+#: Significant words that may reach the driver and, broadcast, the executors.
+MODEL_ROWS = 1_000_000
 
 
 def language(lang: str | None) -> str:
@@ -150,9 +151,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             count_text(text, seen[code], found[code], pairs[code])
         for code, tokens in seen.items():
             finish(tokens, found[code])
-        rows = [(code, w, "", *c) for code, words in found.items() for w, c in words.items() if w and w[0].isalpha() and len(w) <= _TOKEN_MAX]
+        rows = [(code, w, "", *c) for code, words in found.items() for w, c in words.items() if w and w[0].isalpha()]
         # of a pair only its number counts: the word's capitals after the period
-        rows += [(code, w, after, 0, 0, 0, n, 0, 0, 0) for code, counted in pairs.items() for (w, after), n in counted.items() if len(after) <= _TOKEN_MAX and len(w) <= _TOKEN_MAX]
+        rows += [(code, w, after, 0, 0, 0, n, 0, 0, 0) for code, counted in pairs.items() for (w, after), n in counted.items()]
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 10
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i < 3 else pa.int64()) for i, c in enumerate(cols)], names=["lang", "word", "after", *_COUNTS])
 
@@ -464,9 +465,9 @@ def _cjk(c: str) -> bool:
 _OUT = pa.schema([("doc_id", pa.int64()), ("sent_no", pa.int32()), ("start_at", pa.int32()), ("end_at", pa.int32())])
 
 
-def _split(model: Model):
+def _split(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = Splitter(model)
+        splitter = Splitter(model.value)
         for b in batches:
             ids, nos, starts, ends = [], [], [], []
             for key, text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
@@ -481,13 +482,17 @@ def _split(model: Model):
 
 
 def learn(df: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """The model of a corpus. Only significant words reach the driver: abbreviations, starters and collocations."""
+    """The model of a corpus. Only significant words reach the driver: abbreviations, starters and collocations,
+    counted before; more than MODEL_ROWS of them are an error, since none may be left out."""
     counts = word_counts(df, text, lang)
     scored = cut(statistics(counts))
-    return Model(scored.toLocalIterator(), collocations(counts, scored).toLocalIterator())
+    pairs = cut(collocations(counts, scored))
+    if (n := scored.count() + pairs.count()) > MODEL_ROWS:
+        raise ValueError(f"{n} significant words: raise least_llr or MODEL_ROWS")
+    return Model(scored.toLocalIterator(), pairs.toLocalIterator())
 
 
 def split_sentences(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(doc_id, sent_no, start_at, end_at) of every sentence."""
     src = df.where(F.col(text).rlike(r"\S")).select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    return src.mapInArrow(_split(model), "doc_id bigint, sent_no int, start_at int, end_at int")
+    return src.mapInArrow(_split(df.sparkSession.sparkContext.broadcast(model)), "doc_id bigint, sent_no int, start_at int, end_at int")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import DEFAULT_DIR, PRETOKEN, Encoder, load_ranks
+from .bpe import DEFAULT_DIR, PRETOKEN, Encoder, parse_ranks
 
 #: Java's own \s is ASCII only; the public pattern's is Unicode white space.
 _JAVA_PRETOKEN = "(?U)" + PRETOKEN
@@ -33,8 +33,8 @@ def pretokens(text):
 class _Worker:
     """Encodes lists of pre-tokens of one Arrow batch."""
 
-    def __init__(self, path: str):
-        self.encoder = Encoder(load_ranks(path))
+    def __init__(self, vocabulary: bytes):
+        self.encoder = Encoder(parse_ranks(vocabulary))
 
     def fallback(self, texts: list[str | None]) -> list[list[str]]:
         import regex
@@ -68,9 +68,9 @@ class _Worker:
         return pa.ListArray.from_arrays(pa.array(ends[offsets], pa.int32()), pa.array(values[gather], pa.int32()))
 
 
-def _encode(path: str, key: str, key_type: str, counts: bool, keep: list[str]):
+def _encode(vocabulary, key: str, key_type: str, counts: bool, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker = _Worker(path)
+        worker = _Worker(vocabulary.value)
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 part = b.slice(at, 2048)
@@ -83,10 +83,13 @@ def _encode(path: str, key: str, key_type: str, counts: bool, keep: list[str]):
 
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = f"{DEFAULT_DIR}/byte_bpe_50k.tiktoken", counts: bool = False, keep: list[str] = ()) -> DataFrame:
     """One row per row of `df`: `key`, the columns `keep`, and `ids` (array<int>), or with `counts` only
-    `n_tokens` (bigint). Columns of `df` beside these are not read."""
+    `n_tokens` (bigint). Columns of `df` beside these are not read. The vocabulary is read on the driver and sent to
+    the executors: a public tokenizer's file, of a few MB."""
     keep = list(keep)
     types = dict(df.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in (key, *keep)) + (", n_tokens bigint" if counts else ", ids array<int>")
     pre = pretokens(F.col(text))
     src = df.select(key, *keep, pre.alias("__pre"), F.when(F.coalesce(F.col(text), F.lit("")).rlike(r"[\p{Cn}\p{Cs}]"), F.col(text)).alias("__rest"))
-    return src.mapInArrow(_encode(vocabulary, key, types[key], counts, keep), schema)
+    with open(vocabulary, "rb") as f:
+        sent = df.sparkSession.sparkContext.broadcast(f.read())
+    return src.mapInArrow(_encode(sent, key, types[key], counts, keep), schema)

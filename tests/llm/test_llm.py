@@ -41,6 +41,9 @@ def test_range_max():
         top = s[lo : hi + 1].max()
         at = np.flatnonzero(s[lo : hi + 1] == top) + lo
         assert index.best(lo, hi) == at[-1] and index.best(lo, hi, rightward=False) == at[0]
+    short = pieces.RangeMax(s, 10, stretch=40)  # more than one stretch
+    for lo in [*range(0, 290, 3), *range(280, 0, -7)]:
+        assert short.best(lo, lo + 9) == index.best(lo, lo + 9)
 
 
 def test_pieces(spark):
@@ -240,7 +243,7 @@ def test_similarity_join_against_brute_force(spark):
 
 def test_schedule():
     blocks = {"a": 50, "b": 30, "c": 19, "d": 1}
-    out = mix.schedule(blocks)
+    out = list(mix.schedule(blocks))
     assert [s for s, _, _ in out] == list(range(100))
     seen = dict.fromkeys(blocks, 0)
     for slot, s, k in out:
@@ -261,6 +264,10 @@ def test_mixture(spark):
     s = {r.source: r for r in mix.shares(docs, plan).collect()}
     assert s["zero"].actual == 0 and abs(s["a"].share_of_aim - 0.6) < 0.02 and abs(s["b"].share_of_aim - 0.3) < 0.02
     assert mix.mixture(docs.limit(0), plan).count() == 0
+    small = {r.source: r for r in mix.shares(docs, plan, block_tokens=50).collect()}
+    assert small["a"].blocks > 20 and all(r.most_off < 1 for r in small.values()) and small["zero"].blocks == 0
+    sliced = mix.mixture(docs, plan, block_tokens=50).collect()
+    assert {(r.doc_id, r.copy_no) for r in sliced} == {(r.doc_id, r.copy_no) for r in out} and len({r.slot for r in sliced}) > 20
 
 
 def test_starters_and_collocations(spark):
