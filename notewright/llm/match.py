@@ -268,7 +268,7 @@ def most_cost(core: float, edits: float, most_edits: float) -> float:
     return max(1.0, min(most_edits, core * edits))
 
 
-def candidates_by_blocks(values: DataFrame, entries: DataFrame, df: DataFrame, threshold: float, edits: float, most_edits: float, block: int = 1_000) -> DataFrame:
+def candidates_by_blocks(values: DataFrame, entries: DataFrame, df: DataFrame, threshold: float, edits: float, most_edits: float, block: int = 250) -> DataFrame:
     """(kind, vid, eid, jaccard): the same join for entry lists of at most ENTRY_ROWS names, which are broadcast with
     their postings; blocks of values (kind, vid, g, s) go through them. Pairs whose letters alone cost more than the
     check allows are left out."""
@@ -331,10 +331,11 @@ def match_values(values: DataFrame, icd: DataFrame, rx: DataFrame, threshold: fl
     priced = checked.select("kind", "vid", "code", "name", "jaccard", "core", "s", F.explode_outer(near).alias("v"))
     priced = priced.select("*", once(F.levenshtein("s", "v", int(4 * most_edits))).alias("lev")).where((F.col("lev") >= 0) & (F.col("lev") <= F.col("core")))
     # half the edits that swap letters or words count: Levenshtein and the bag distance are averaged
-    priced = priced.withColumn("bag", _letters(F.col("s")))
-    over = F.aggregate(F.zip_with("bag", _letters(F.col("v")), lambda a, b: F.greatest(a - b, F.lit(0))), F.lit(0), lambda x, y: x + y)
-    under = F.aggregate(F.zip_with("bag", _letters(F.col("v")), lambda a, b: F.greatest(b - a, F.lit(0))), F.lit(0), lambda x, y: x + y)
-    priced = priced.select("*", once((F.col("lev") + F.greatest(over, under)) / 2.0).alias("cost")).where(F.col("cost") <= F.greatest(F.lit(1.0), F.least(F.lit(most_edits), F.col("core") * edits)))
+    # the bag distance is the larger of what either side has more: (sum of |d| + |sum of d|) / 2
+    d = F.zip_with(_letters(F.col("s")), _letters(F.col("v")), lambda a, b: a - b)
+    sums = F.aggregate(d, F.struct(F.lit(0).alias("a"), F.lit(0).alias("n")), lambda acc, x: F.struct((acc["a"] + F.abs(x)).alias("a"), (acc["n"] + x).alias("n")))
+    cost = F.transform(F.array(sums), lambda x: (F.col("lev") + (x["a"] + F.abs(x["n"])) / 2) / 2.0)
+    priced = priced.select("*", F.explode_outer(cost).alias("cost")).where(F.col("cost") <= F.greatest(F.lit(1.0), F.least(F.lit(most_edits), F.col("core") * edits)))
     choice = priced.groupBy("kind", "vid").agg(F.min(F.struct((-F.col("jaccard")).alias("j"), "cost", "code", "name")).alias("m"))
     out = cleaned.select("kind", "value", "vid").join(choice, ["kind", "vid"], "left")
     return out.select("kind", "value", F.coalesce(F.col("m.code"), F.lit(NONE)).alias("code"), F.col("m.name").alias("name"), (-F.col("m.j")).alias("jaccard"), F.col("m.cost").alias("cost"))
