@@ -170,3 +170,13 @@ def concepts(df: DataFrame, names: DataFrame, icd: DataFrame, rx: DataFrame, key
     """(key, start, end, surface, kind, assertions, candidates): the whole pipeline over notes, whose keys are
     unique. Null and empty notes give no rows."""
     return coded(described(extracted(df, names, key, text), df, key, text), icd, rx)
+
+
+def predicted(found: DataFrame, df: DataFrame, icd: DataFrame, rx: DataFrame, key: str, text: str) -> DataFrame:
+    """`found` (key, start, end, kind, assertions, ...) of a token model, or of the vote of several, as concepts: with
+    `surface` and `candidates`, labels only for types that bear them."""
+    bounds = found.groupBy(key).agg(F.collect_list(F.struct(*(c for c in found.columns if c != key))).alias("__s")).join(df.select(key, text), key)  # a text goes along once
+    cut_ = F.transform("__s", lambda s: s.withField("surface", F.substring(F.col(text), s["start"] + 1, s["end"] - s["start"])))
+    placed = spans.listed(bounds, cut_, key)
+    none = F.array().cast("array<string>")
+    return coded(placed.withColumn("assertions", F.when(F.col("kind").isin(*T.ASSERTED_TYPES), F.coalesce("assertions", none)).otherwise(none)), icd, rx)

@@ -197,6 +197,18 @@ def check_spans(e: DataFrame, text: str, kind: str = "fine") -> DataFrame:
     return e.withColumn("error", F.explode(F.array_compact(errors)))
 
 
+def missing_fields(e: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """(…, error): the fields of each span that are null."""
+    return e.withColumn("error", F.explode(F.array_compact(F.array(*(F.when(F.col(c).isNull(), f"missing {c}") for c in fields)))))
+
+
+def unknown_codes(e: DataFrame, codes: DataFrame) -> DataFrame:
+    """(…, code) of the spans' candidates that the knowledge base (code) does not hold; null and empty ones are no
+    codes."""
+    each = e.withColumn("code", F.explode("candidates")).where("code <> ''")
+    return each.join(broadcast_if_small(codes.select("code").distinct()), "code", "left_anti")
+
+
 def greedy(spans: DataFrame, key: str) -> DataFrame:
     """Keep the spans that overlap no kept one, by (prio, seq): a fold over one document's spans."""
     s = spans.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("prio", "seq", "start", "end", "kind"))).alias("all"))

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import tables as T
 from ..functions import text as X
-from ..operators import chain, kb, linking, prep, semantic, spans, training
+from ..operators import chain, extract, kb, linking, prep, semantic, spans, training
 from ..session import broadcast_if_small, scattered, table
 from ..sources import files
 from .kb_queries import _HIER, _PAIRS, _fuzzy, key_sql
-from .span_queries import _ALIGN, _GOLD, _REC, _TOK, _gold, _records
+from .span_queries import _ALIGN, _GOLD, _REC, _TOK, _gold, _models, _records
 
 
 def _docs(spark, sf_dir):
@@ -140,16 +140,35 @@ def padded_batches(spark, sf_dir):
     return p.select("rec_id", "batch", "width", F.size("fine").alias("n_fine"), F.size("flags").alias("n_flags"), F.aggregate("attention", F.lit(0), lambda x, y: x + y).alias("n_tokens"), F.size(F.filter("fine", lambda x: x == training.IGNORED)).alias("n_ignored"))
 
 
-def scored_spans(spark, sf_dir):
-    """Spans decoded from the records' labels, scored by made-up token confidences."""
+def _scored(spark, sf_dir):
     r = _records(spark, sf_dir)
     toks = spans.scan(r, "rec_id", "text", training.TOKEN)
     gold = spans.exploded(r, "rec_id", "spans").where("fine IS NOT NULL").select("rec_id", "span_no", "start", "end", F.col("fine").alias("kind"))
     decoded = spans.bio_decode(spans.align(toks, gold, "rec_id"), "rec_id")
     h = lambda k, n: F.pmod(F.col("rec_id") * k + F.col("no") * n, F.lit(100)) / 100.0
     preds = toks.select("rec_id", "no", "start", "end", h(31, 17).alias("conf"), F.array(h(7, 3), h(11, 5), h(13, 29)).alias("probs"))
-    s = training.scored_spans(decoded, preds, "rec_id")
-    return s.withColumn("assertions", F.array_join("assertions", "|"))
+    return training.scored_spans(decoded, preds, "rec_id")
+
+
+def scored_spans(spark, sf_dir):
+    """Spans decoded from the records' labels, scored by made-up token confidences."""
+    return _scored(spark, sf_dir).withColumn("assertions", F.array_join("assertions", "|"))
+
+
+def _concepts(spark, sf_dir, found):
+    icd, rx = kb.keep_codes(table(spark, sf_dir, "icd_index")), table(spark, sf_dir, "rxnorm_index")
+    p = extract.predicted(found, _records(spark, sf_dir), icd, rx, "rec_id", "text")
+    return p.select("rec_id", "start", "end", "kind", "surface", F.array_join("assertions", "|").alias("assertions"), F.array_join("candidates", "|").alias("candidates"))
+
+
+def predicted(spark, sf_dir):
+    """The scored spans of one model as concepts."""
+    return _concepts(spark, sf_dir, _scored(spark, sf_dir).select("rec_id", "start", "end", "kind", "assertions"))
+
+
+def predicted_by_vote(spark, sf_dir):
+    """The vote of two models as concepts."""
+    return _concepts(spark, sf_dir, spans.ensemble(_models(spark, sf_dir), "rec_id").select("rec_id", "start", "end", "kind", "assertions"))
 
 
 def pseudo_labels(spark, sf_dir):
@@ -206,7 +225,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         triplets, gold_triplets, sft_rows, sft_assertions, sft_choices, augmented, shards, repeated_rows, batch_sizes, distinct_batches, holdout, clause_left, hard_negatives, gold_injected, token_rows, train_rows,
-        padded_batches, scored_spans, pseudo_labels, conll_unified, best_epoch, max_pipeline, chain_paths,
+        padded_batches, scored_spans, predicted, predicted_by_vote, pseudo_labels, conll_unified, best_epoch, max_pipeline, chain_paths,
     )
 }
 

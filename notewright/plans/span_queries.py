@@ -130,6 +130,21 @@ def run_totals(spark, sf_dir):
     return d.agg(F.count("*").alias("n_notes")).join(F.broadcast(n)).select("n_notes", "n_concepts", "n_broken", F.round(F.try_divide("n_concepts", F.greatest("n_notes", F.lit(1))), 6).alias("per_note"))
 
 
+def _out_concepts(spark, sf_dir):
+    c = table(spark, sf_dir, "out_docs").dropDuplicates(["out_id"]).select("out_id", F.posexplode("concepts").alias("concept_no", "c")).where("c IS NOT NULL")
+    return c.select("out_id", "concept_no", "c.*")
+
+
+def missing_fields(spark, sf_dir):
+    fields = ("text", "position", "type", "assertions", "candidates")
+    return spans.missing_fields(_out_concepts(spark, sf_dir), fields).select("out_id", "concept_no", "error")
+
+
+def unknown_codes(spark, sf_dir):
+    """Codes of concepts, by type, that the diagnosis list does not hold (those of drugs stand in another list)."""
+    return spans.unknown_codes(_out_concepts(spark, sf_dir), table(spark, sf_dir, "icd_index")).groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("code").alias("n_codes"))
+
+
 def shard_report(spark, sf_dir):
     """Notes per shard and how many of them gave concepts."""
     s = prep.shards(table(spark, sf_dir, "out_docs").dropDuplicates(["out_id"]), "out_id", 4)
@@ -158,7 +173,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         dict_scan_offsets, dose_spans, lab_pairs, sections, section_asof, assertions, validate_concepts, run_report, greedy_nonoverlap, ensemble_islands, ensemble_vote, ensemble_agree,
-        align_labels, bio_strict, bio_lenient, span_prf, label_map, silver_rows, run_totals, shard_report, code_search, cosine_topk, rerank_gate,
+        align_labels, bio_strict, bio_lenient, span_prf, label_map, silver_rows, run_totals, missing_fields, unknown_codes, shard_report, code_search, cosine_topk, rerank_gate,
     )
 }
 
@@ -252,6 +267,9 @@ SQL = {
     "cosine_topk": "WITH s AS (SELECT q.vec_id AS query, e.vec_id AS id, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id) SELECT query, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5",
     "rerank_gate": "SELECT out_id, CAST(i - 1 AS INTEGER) AS concept_no, CASE WHEN len(concepts[i].candidates) = 1 THEN coalesce(concepts[i].candidates[1], '') ELSE coalesce(concepts[i].candidates[2], '') END AS chosen FROM (SELECT *, unnest(range(1, len(concepts) + 1)) AS i FROM (SELECT DISTINCT ON (out_id) * FROM out_docs)) WHERE len(concepts[i].candidates) > 0",
     "run_totals": f"WITH d AS (SELECT DISTINCT ON (out_id) * FROM out_docs), c AS (SELECT unnest(concepts) AS c FROM d) SELECT (SELECT count(*) FROM d) AS n_notes, count(*) AS n_concepts, count(*) FILTER (coalesce(c.type NOT IN ({_TYPES}), true) OR coalesce(len(c.assertions), 0) > 3) AS n_broken, round(count(*) / greatest((SELECT count(*) FROM d), 1), 6) AS per_note FROM c WHERE c IS NOT NULL",
+    "missing_fields": "WITH c AS (SELECT out_id, CAST(i - 1 AS INTEGER) AS concept_no, concepts[i] AS c FROM (SELECT *, unnest(range(1, len(concepts) + 1)) AS i FROM (SELECT DISTINCT ON (out_id) * FROM out_docs))) SELECT * FROM (SELECT out_id, concept_no, unnest(list_filter(["
+    + ", ".join(f"CASE WHEN c.{f} IS NULL THEN 'missing {f}' END" for f in ("text", "position", "type", "assertions", "candidates")) + "], lambda x: x IS NOT NULL)) AS error FROM c WHERE c IS NOT NULL)",
+    "unknown_codes": "WITH c AS (SELECT c.type AS type, unnest(c.candidates) AS code FROM (SELECT unnest(concepts) AS c FROM (SELECT DISTINCT ON (out_id) * FROM out_docs))), k AS (SELECT code FROM icd_index) SELECT type, count(*) AS n, count(DISTINCT code) AS n_codes FROM c WHERE code <> '' AND code NOT IN (SELECT code FROM k WHERE code IS NOT NULL) GROUP BY type",
     "shard_report": "WITH d AS (SELECT count(DISTINCT out_id) AS n FROM out_docs) SELECT CAST(4 AS BIGINT) AS n_shards, n AS n_notes, CAST(ceil(n / 4) AS BIGINT) AS most FROM d",
     "code_search": "WITH s AS (SELECT q.vec_id AS query, e.vec_id AS id, CAST(e.label AS VARCHAR) AS code, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 WHERE e.label IS NOT NULL), "
     "b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query, code ORDER BY score DESC, id) = 1) SELECT query, code, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM b) WHERE rank <= 5",

@@ -84,7 +84,7 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def latest(df: DataFrame, key: str, by: str, *ties: str) -> DataFrame:
     """One row per key: of keys delivered more than once the row with the largest `by`, ties by the other columns.
-    Only keys are counted over all rows; only the rows of repeated keys are ranked."""
+    Only keys are counted over all rows; only the rows of repeated keys are ranked. Rows without a key all stay."""
     twice = broadcast_if_small(df.groupBy(key).agg(F.count("*").alias("__n")).where("__n > 1").select(key))
     w = Window.partitionBy(key).orderBy(F.desc_nulls_last(by), *ties)
     ranked = df.join(twice, key, "left_semi").withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")

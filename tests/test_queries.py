@@ -1,17 +1,23 @@
-"""Queries against their SQL on the smallest tables."""
+"""Every query that has SQL against its SQL, on the smallest tables."""
 
 from pathlib import Path
 
 import pytest
 
-import __spark_entry__ as entry
+from notewright.plans import catalogue
 from tests.compare import compare, connect
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables here")
 
 
-@pytest.mark.parametrize("name", ["norm_key", "kb_exact", "link_hierarchy", "dict_scan_offsets", "section_asof", "assertions", "ensemble_vote", "bio_strict", "p2_typed", "cosine_topk", "hard_negatives"])
+@pytest.mark.parametrize("name", sorted(catalogue.SQL))
 def test_same(spark, name):
-    a, b = compare(spark, connect(DATA), name, entry.queries()[name], entry.oracle_sql()[name], DATA)
+    a, b = compare(spark, connect(DATA), name, catalogue.QUERIES[name], catalogue.SQL[name], DATA)
     assert a == b
+
+
+def test_driver_contract(spark):
+    import __spark_entry__ as entry
+
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and entry.entry(spark).columns
