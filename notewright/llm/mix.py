@@ -134,7 +134,7 @@ def mixture(docs: DataFrame, plan: DataFrame, block_tokens: int = BLOCK_TOKENS,
     # a copy that starts at the quota's very end stays in the last block
     last = F.broadcast(s.groupBy("source").agg(F.max("last").alias("last")))  # one row per planned source
     c = chosen(sizes, quota, seed).join(last, "source").withColumn("block", F.least(F.floor(F.col("at") / block_tokens), F.col("last")))
-    return c.join(broadcast_if_small(s.select("slot", "source", "block")), ["source", "block"]).select("slot", "source", "copy_no", "doc_id", "n_tokens", F.col("at").alias("at_token"))
+    return c.join(broadcast_if_small(s.select("slot", "source", "block"), 20_000), ["source", "block"]).select("slot", "source", "copy_no", "doc_id", "n_tokens", F.col("at").alias("at_token"))
 
 
 def shares(docs: DataFrame, plan: DataFrame, block_tokens: int = BLOCK_TOKENS, seed: int = 7) -> DataFrame:
