@@ -239,16 +239,32 @@ runs AS (SELECT rec_id, island, min(no) AS first, max(no) AS last, min(kind) AS
 _TYPES = ", ".join(f"'{t}'" for t in T.TYPES)
 _ASSERT = ", ".join(f"'{t}'" for t in T.ASSERTIONS)
 
-DOSE_SQL = spans.DOSE
+_DOSED = _DICT + f""", tails AS (SELECT dic.*, regexp_extract(substring(text, "end" + 1), '^(?:{spans.DOSE})') AS tail FROM dic JOIN rec USING (rec_id)),
+dosed AS (SELECT rec_id, start, CAST("end" + length(regexp_replace(tail, '[{T.WS}]+$', '')) AS INTEGER) AS "end", name FROM tails)"""
+
+
+def fold_sql(src: str) -> str:
+    """`folded` (rec_id, x): the spans of `src` (rec_id, prio, seq, start, "end", kind, a, b) that meet no kept one, in order."""
+    return f"""ord AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY prio, seq, start, "end", kind, a, b) AS rn FROM {src} WHERE "end" > start),
+step AS (SELECT rec_id, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(s BIGINT, e BIGINT, kind VARCHAR, prio INTEGER, seq BIGINT)[]) AS kept FROM (SELECT DISTINCT rec_id FROM ord)
+UNION ALL SELECT s.rec_id, o.rn, CASE WHEN len(list_filter(kept, lambda k: (k.s < o."end" AND o.start < k.e) OR (k.s < o.b AND o.a < k.e))) > 0 THEN kept
+  ELSE list_append(kept, {{'s': CAST(o.start AS BIGINT), 'e': CAST(o."end" AS BIGINT), 'kind': o.kind, 'prio': CAST(o.prio AS INTEGER), 'seq': CAST(o.seq AS BIGINT)}}) END FROM step s JOIN ord o ON o.rec_id = s.rec_id AND o.rn = s.rn + 1),
+folded AS (SELECT rec_id, unnest(kept) AS x FROM (SELECT rec_id, arg_max(kept, rn) AS kept FROM step GROUP BY rec_id))"""
+
+
+#: Flags of the spans in `sec`.
+_FLAGS = (
+    f"c AS (SELECT *, {_left(T.NEGATION_WINDOW)} AS l, {_left(T.PAST_WINDOW)} AS l2, {_FOLD.format('section')} AS ti FROM sec WHERE fine IS NOT NULL) "
+    f"""SELECT rec_id, span_no, {_neg()} AS neg, regexp_matches({_FOLD.format(f'substring(text, greatest(start - {T.FAMILY_WINDOW}, 0) + 1, "end" - greatest(start - {T.FAMILY_WINDOW}, 0))')}, '(?:^|[^\\p{{L}}\\p{{N}}_])(?:{"|".join(T.FAMILY_WORDS)})') AS fam, """
+    f"""(({_any('ti', T.PAST_TITLES)} AND NOT {_any('ti', T.PRESENT_TITLES)}) OR starts_with(regexp_replace({_FOLD.format(f'substring(text, "end" + 1, {T.PAST_AFTER})')}, '^[{T.WS}]+|[{T.WS}]+$', '', 'g'), 'cu') OR {_any('l2', T.PAST_CUES)}) AS hist FROM c"""
+)
 
 SQL = {
     "dict_scan_offsets": f"WITH {_REC}, {_DICT} SELECT * FROM dic",
     "lab_pairs": f"WITH {_REC}, " + _scan("rec", "rec_id", spans.LAB_NAMED, "lab") + " SELECT * FROM lab",
     "sections": "WITH " + _scan("documents", "doc_id", spans.SECTION, "sc") + f" SELECT doc_id, start AS pos, regexp_replace(regexp_extract(match, '{spans.SECTION_PARTS}', 1), '^[{T.WS}]+|[{T.WS}]+$', '', 'g') AS title FROM sc",
     "section_asof": f"WITH {_REC}, {_GOLD}, {_SECS}, {_ASOF} SELECT rec_id, span_no, section FROM sec",
-    "assertions": f"WITH {_REC}, {_GOLD}, {_SECS}, {_ASOF}, c AS (SELECT *, {_left(T.NEGATION_WINDOW)} AS l, {_left(T.PAST_WINDOW)} AS l2, {_FOLD.format('section')} AS ti FROM sec WHERE fine IS NOT NULL) "
-    f"""SELECT rec_id, span_no, {_neg()} AS neg, regexp_matches({_FOLD.format(f'substring(text, greatest(start - {T.FAMILY_WINDOW}, 0) + 1, "end" - greatest(start - {T.FAMILY_WINDOW}, 0))')}, '(?:^|[^\\p{{L}}\\p{{N}}_])(?:{"|".join(T.FAMILY_WORDS)})') AS fam, """
-    f"""(({_any('ti', T.PAST_TITLES)} AND NOT {_any('ti', T.PRESENT_TITLES)}) OR starts_with(regexp_replace({_FOLD.format(f'substring(text, "end" + 1, {T.PAST_AFTER})')}, '^[{T.WS}]+|[{T.WS}]+$', '', 'g'), 'cu') OR {_any('l2', T.PAST_CUES)}) AS hist FROM c""",
+    "assertions": f"WITH {_REC}, {_GOLD}, {_SECS}, {_ASOF}, {_FLAGS}",
     "validate_concepts": f"""WITH {_REC}, {_GOLD}, e AS (SELECT unnest(list_filter([
       CASE WHEN fine IS NULL OR fine NOT IN ({_TYPES}) THEN 'type' END,
       CASE WHEN coalesce(NOT (start >= 0 AND start <= "end" AND "end" <= length(text)), true) THEN 'position' WHEN substring(text, start + 1, "end" - start) <> surface THEN 'slice' END,
@@ -273,11 +289,12 @@ SQL = {
     "shard_report": "WITH d AS (SELECT count(DISTINCT out_id) AS n FROM out_docs) SELECT CAST(4 AS BIGINT) AS n_shards, n AS n_notes, CAST(ceil(n / 4) AS BIGINT) AS most FROM d",
     "code_search": "WITH s AS (SELECT q.vec_id AS query, e.vec_id AS id, CAST(e.label AS VARCHAR) AS code, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 WHERE e.label IS NOT NULL), "
     "b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query, code ORDER BY score DESC, id) = 1) SELECT query, code, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM b) WHERE rank <= 5",
-    "dose_spans": f"WITH {_REC}, {_DICT}, g AS (SELECT dic.*, regexp_extract(substring(text, \"end\" + 1), '^(?:{DOSE_SQL})') AS tail FROM dic JOIN rec USING (rec_id)) SELECT rec_id, start, CAST(\"end\" + length(regexp_replace(tail, '[{T.WS}]+$', '')) AS INTEGER) AS \"end\", name FROM g",
+    "dose_spans": f"WITH {_REC}, {_DOSED} SELECT * FROM dosed",
+    "greedy_nonoverlap": f"""WITH RECURSIVE {_REC}, {_GOLD}, {_DOSED}, al AS (SELECT rec_id, 0 AS prio, CAST(start AS BIGINT) AS seq, start, "end", '{T.DRUG}' AS kind, start AS a, "end" AS b FROM dosed
+UNION ALL SELECT rec_id, 1, span_no, start, "end", coalesce(fine, coarse, 'OTHER'), start, "end" FROM gold WHERE start < "end"), {fold_sql("al")} SELECT rec_id, CAST(x.s AS INTEGER) AS start, CAST(x.e AS INTEGER) AS "end", x.kind AS kind, x.prio AS prio, x.seq AS seq FROM folded""",
     "label_map": "WITH " + _REC + ", " + _GOLD + ", d AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in row) + ")" for row in T.LABELS) + ") t(source, label, fine, coarse)), s AS (SELECT lower(trim(source)) AS source, fine, coarse, count(*) AS n FROM gold GROUP BY 1, 2, 3) "
     "SELECT s.source, s.fine, s.coarse, n, coalesce(string_agg(label, '|' ORDER BY label), '') AS labels FROM s LEFT JOIN d ON s.source = d.source AND s.fine IS NOT DISTINCT FROM d.fine AND s.coarse IS NOT DISTINCT FROM d.coarse GROUP BY 1, 2, 3, 4",
 }
-_HEAD_, _TAIL_ = SQL["dose_spans"].rsplit(" SELECT rec_id, start, CAST", 1)
-SQL["span_prf"] = f"""{_HEAD_}, p AS (SELECT DISTINCT rec_id, start, CAST{_TAIL_.replace(', name FROM g', ' FROM g')}), {_GOLD}, go AS (SELECT DISTINCT rec_id, start, "end" FROM gold WHERE fine = '{T.DRUG}'),
+SQL["span_prf"] = f"""WITH {_REC}, {_GOLD}, {_DOSED}, p AS (SELECT DISTINCT rec_id, start, "end" FROM dosed), go AS (SELECT DISTINCT rec_id, start, "end" FROM gold WHERE fine = '{T.DRUG}'),
 c AS (SELECT count(*) FILTER (p.rec_id IS NOT NULL AND go.rec_id IS NOT NULL) AS tp, count(*) FILTER (go.rec_id IS NULL) AS fp, count(*) FILTER (p.rec_id IS NULL) AS fn FROM p FULL JOIN go USING (rec_id, start, "end"))
 SELECT tp, fp, fn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM c"""

@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 from pyspark.sql.window import Window
 
 #: A side is broadcast only when its row count, counted first, is at most this.
@@ -77,9 +78,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: ... and its strings, arrays and numbers take at most so many bytes.
+BROADCAST_BYTES = 256 << 20
+
+
+def _width(c, kind):
+    """About how many bytes a column takes in a row."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, ArrayType):
+        inner = F.aggregate(c, F.lit(0), lambda acc, x: acc + _width(x, kind.elementType))
+        return F.coalesce(inner, F.lit(0)) + 24
+    return F.lit(16)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a side only if its counted size is within the bound; else Spark picks a shuffle join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """Broadcast a side only if its counted rows and bytes are within the bounds; else Spark picks a shuffle join."""
+    width = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0))
+    n, size = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and size <= BROADCAST_BYTES else df
 
 
 def latest(df: DataFrame, key: str, by: str, *ties: str) -> DataFrame:
