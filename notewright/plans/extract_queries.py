@@ -42,10 +42,10 @@ def concepts(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (lab_colon, phrase_segments, phrase_classify, number_units, extract_spans, concepts)}
-_P = extract.LAB_COLON_PARTS.replace("(?iu)", "(?i)")
+_P = extract.LAB_COLON_PARTS.replace("(?iu:", "(?i:")
 _NAMED = r"(?i)^(?:" + "|".join(extract.spans.LAB_NAMES) + ")"
 _NONE = ", ".join(f"'{w}'" for w in extract.NO_CONCEPT)
-_LABS = f"""{_scan("rec", "rec_id", extract.LAB_COLON.replace("(?iu)", "(?i)"), "lc")}, {_scan("rec", "rec_id", extract.spans.LAB_NAMED, "ln")},
+_LABS = f"""{_scan("rec", "rec_id", extract.LAB_COLON.replace("(?iu:", "(?i:"), "lc")}, {_scan("rec", "rec_id", extract.spans.LAB_NAMED, "ln")},
 p AS (SELECT rec_id, start, regexp_extract(match, '{_P}', 1) AS a, regexp_extract(match, '{_P}', 2) AS b, regexp_extract(match, '{_P}', 3) AS v FROM lc),
 q AS (SELECT *, regexp_replace(a, '[ \\-\\t]+$', '') AS name FROM p),
 k AS (SELECT *, start + length(a) + length(b) + length(v) - length(regexp_replace(v, '^[{T.WS}]+', '')) AS v_at, length(regexp_replace(v, '^[{T.WS}]+|[{T.WS}]+$', '', 'g')) AS n FROM q WHERE length({key_sql('name')}) >= 2 AND {key_sql('name')} NOT IN ({_NONE}) AND length(name) <= 45),
