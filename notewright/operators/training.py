@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tables as T
 from . import spans as S
+from . import tagging
 
 TOKEN = r"[^\t-\r\x{20}]+"
 #: Fixed value: the label of tokens that take no part.
@@ -22,45 +23,27 @@ def bio_labels(types: tuple[str, ...]) -> list[str]:
     return ["O", *(f"{mark}-{t}" for t in types for mark in "BI")]
 
 
-def label_id(label: Column, types: tuple[str, ...]) -> Column:
-    """The number of a BIO label, 0 for unknown ones."""
-    return F.greatest(F.array_position(F.array(*map(F.lit, bio_labels(types))), label) - 1, F.lit(0)).cast("int")
+def _rows(df: DataFrame, key: str, text: str, spans: str, max_len: int, lists: bool) -> DataFrame:
+    kinds = {"fine": T.TYPES, "coarse": T.COARSE}
+    return tagging.training_rows(df, key, text, spans, kinds, T.ASSERTED_TYPES, T.ASSERTIONS, max_len - 2, IGNORED, lists)
 
 
-def tokens(df: DataFrame, key: str, text: str, max_len: int = 256) -> DataFrame:
-    """(key, no, start, end) of the first max_len - 2 tokens of each text, numbered from 1."""
-    t = S.scan(df, key, text, TOKEN).where(F.col("no") < max_len - 2)
-    return t.select(key, (F.col("no") + 1).alias("no"), "start", "end")
+def record_tokens(df: DataFrame, key: str, text: str, spans: str, max_len: int = 256) -> DataFrame:
+    """(key, no, start, end, fine, coarse, flags, mask) of every token of records with their array of spans, special
+    ones included; of the spans that overlap a token the last gives its label, all give their flags."""
+    return _rows(df, key, text, spans, max_len, False)
 
 
-def token_flags(toks: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """(key, no, flags, mask): of each token in a span of a type with assertions the elementwise maximum of the
-    spans' flags; `spans` has (key, span_no, start, end, fine, assertions)."""
-    asserted = spans.where(F.col("fine").isin(*T.ASSERTED_TYPES) & (F.col("start") < F.col("end")))
-    hot = [F.array_contains(F.coalesce("assertions", F.array().cast("array<string>")), a).cast("int") for a in T.ASSERTIONS]
-    from_zero = toks.withColumn("no", F.col("no") - 1)
-    hit = S.token_ranges(from_zero, asserted.select(key, "span_no", "start", "end", *(F.coalesce(h, F.lit(0)).alias(f"f{i}") for i, h in enumerate(hot))), key)
-    each = hit.select(key, "f0", "f1", "f2", F.explode(F.sequence(F.col("first") + 1, F.col("last") + 1)).alias("no"))
-    return each.groupBy(key, "no").agg(F.array(*(F.max(f"f{i}") for i in range(3))).alias("flags"), F.lit(1).alias("mask"))
+def record_rows(df: DataFrame, key: str, text: str, spans: str, max_len: int = 256) -> DataFrame:
+    """The same as one training row a record: (key, starts, ends, fine, coarse, flags, mask)."""
+    return _rows(df, key, text, spans, max_len, True)
 
 
 def token_rows(df: DataFrame, spans: DataFrame, key: str, text: str, max_len: int = 256) -> DataFrame:
     """(key, no, start, end, fine, coarse, flags, mask) of every token, special ones included. `df` has one row a
     record; `spans` has (key, span_no, start, end, fine, coarse, assertions)."""
-    toks = tokens(df, key, text, max_len)
-    zero = toks.withColumn("no", F.col("no") - 1)
-
-    def labels(kind: str, types: tuple[str, ...]) -> DataFrame:
-        s = spans.where(F.col(kind).isNotNull()).select(key, "span_no", "start", "end", F.col(kind).alias("kind"))
-        return S.align(zero, s, key).select(key, (F.col("no") + 1).alias("no"), label_id(F.col("label"), types).alias(kind))
-
-    none = F.array(F.lit(0), F.lit(0), F.lit(0))
-    rows = toks.join(labels("fine", T.TYPES), [key, "no"]).join(labels("coarse", T.COARSE), [key, "no"]).join(token_flags(toks, spans, key), [key, "no"], "left")
-    rows = rows.select(key, "no", "start", "end", "fine", "coarse", F.coalesce("flags", none).alias("flags"), F.coalesce("mask", F.lit(0)).alias("mask"))
-    last = toks.groupBy(key).agg(F.max("no").alias("n"))
-    ends = df.select(key).join(last, key, "left").select(key, F.explode(F.array(F.lit(0), F.coalesce("n", F.lit(0)) + 1)).alias("no"))
-    special = ends.select(key, "no", F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(IGNORED).alias("fine"), F.lit(IGNORED).alias("coarse"), none.alias("flags"), F.lit(0).alias("mask"))
-    return rows.unionByName(special)
+    per = spans.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("span_no", "start", "end", "fine", "coarse", "assertions"))).alias("__s"))
+    return record_tokens(df.select(key, text).join(per, key, "left"), key, text, "__s", max_len)
 
 
 def assembled(rows: DataFrame, key: str) -> DataFrame:

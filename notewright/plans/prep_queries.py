@@ -115,8 +115,7 @@ def gold_injected(spark, sf_dir):
 
 
 def _token_rows(spark, sf_dir):
-    r = _records(spark, sf_dir)
-    return training.token_rows(r.select("rec_id", "text"), spans.exploded(r, "rec_id", "spans"), "rec_id", "text")
+    return training.record_tokens(_records(spark, sf_dir), "rec_id", "text", "spans")
 
 
 def token_rows(spark, sf_dir):
