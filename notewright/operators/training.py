@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions import tables as T
 from . import spans as S
@@ -60,8 +61,7 @@ def pad(arr: Column, value: Column, n: Column) -> Column:
 
 def padded(rows: DataFrame, batch: str) -> DataFrame:
     """`rows` of `assembled` with a batch column, `width` and `attention`: all arrays as long as the batch's longest."""
-    width = rows.groupBy(batch).agg(F.max(F.size("starts")).alias("width"))
-    r = rows.join(width, batch).withColumn("attention", F.array_repeat(F.lit(1), F.size("starts")))
+    r = rows.withColumn("width", F.max(F.size("starts")).over(W.partitionBy(batch))).withColumn("attention", F.array_repeat(F.lit(1), F.size("starts")))
     fill = {"starts": F.lit(0), "ends": F.lit(0), "fine": F.lit(IGNORED), "coarse": F.lit(IGNORED), "flags": F.array(F.lit(0), F.lit(0), F.lit(0)), "mask": F.lit(0), "attention": F.lit(0)}
     return r.withColumns({c: pad(F.col(c), v, F.col("width")) for c, v in fill.items()})
 

@@ -114,13 +114,9 @@ def gold_injected(spark, sf_dir):
     return m.join(linked, "key").select("rec_id", "span_no", F.array_join(prep.inject_gold(F.col("codes"), F.array_distinct(F.array_compact("gold"))), "|").alias("codes"))
 
 
-def _token_rows(spark, sf_dir):
-    return training.record_tokens(_records(spark, sf_dir), "rec_id", "text", "spans")
-
-
 def token_rows(spark, sf_dir):
     """Labels and flags of the first 254 tokens of each record, special tokens included."""
-    return _token_rows(spark, sf_dir).select("rec_id", "no", "start", "end", "fine", "coarse", *(F.get("flags", F.lit(i)).alias(f"f{i}") for i in range(3)), "mask")
+    return training.record_tokens(_records(spark, sf_dir), "rec_id", "text", "spans").select("rec_id", "no", "start", "end", "fine", "coarse", *(F.get("flags", F.lit(i)).alias(f"f{i}") for i in range(3)), "mask")
 
 
 def _line(c):
@@ -128,13 +124,13 @@ def _line(c):
 
 
 def train_rows(spark, sf_dir):
-    a = training.assembled(_token_rows(spark, sf_dir), "rec_id")
+    a = training.assembled(training.record_tokens(_records(spark, sf_dir), "rec_id", "text", "spans"), "rec_id")
     return a.select("rec_id", F.size("starts").alias("n"), _line("fine").alias("fine"), _line("coarse").alias("coarse"), _line("mask").alias("mask"), _line(F.flatten("flags")).alias("flags"))
 
 
 def padded_batches(spark, sf_dir):
     """Training rows padded in batches of 64 record numbers: width and the sum of the attention masks."""
-    a = training.assembled(_token_rows(spark, sf_dir), "rec_id").withColumn("batch", F.floor(F.col("rec_id") / 64))
+    a = training.record_rows(_records(spark, sf_dir), "rec_id", "text", "spans").withColumn("batch", F.floor(F.col("rec_id") / 64))
     p = training.padded(a, "batch")
     return p.select("rec_id", "batch", "width", F.size("fine").alias("n_fine"), F.size("flags").alias("n_flags"), F.aggregate("attention", F.lit(0), lambda x, y: x + y).alias("n_tokens"), F.size(F.filter("fine", lambda x: x == training.IGNORED)).alias("n_ignored"))
 
