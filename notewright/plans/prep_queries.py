@@ -124,7 +124,7 @@ def _line(c):
 
 
 def train_rows(spark, sf_dir):
-    a = training.assembled(training.record_tokens(_records(spark, sf_dir), "rec_id", "text", "spans"), "rec_id")
+    a = training.record_rows(_records(spark, sf_dir), "rec_id", "text", "spans")
     return a.select("rec_id", F.size("starts").alias("n"), _line("fine").alias("fine"), _line("coarse").alias("coarse"), _line("mask").alias("mask"), _line(F.flatten("flags")).alias("flags"))
 
 

@@ -29,6 +29,11 @@ def test_padded_batches_in_few_shuffles(spark):
     assert shuffles(prep_queries.padded_batches(spark, DATA)) <= 8
 
 
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables here")
+def test_train_rows_in_few_shuffles(spark):
+    assert shuffles(prep_queries.train_rows(spark, DATA)) <= 8
+
+
 def odd_records(n=60, seed=5):
     rng = random.Random(seed)
     out = []
