@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tables as T
 from ..functions import text as X
-from ..operators import chain, extract, kb, linking, prep, semantic, spans, training
+from ..operators import chain, extract, kb, linking, prep, semantic, spans, tagging, training
 from ..session import broadcast_if_small, scattered, table
 from ..sources import files
 from .kb_queries import _HIER, _PAIRS, _fuzzy, key_sql
@@ -175,13 +175,12 @@ def pseudo_labels(spark, sf_dir):
 
 def conll_unified(spark, sf_dir):
     """The records' words tagged by their coarse labels, read back as a tagged corpus: spans on the joined surfaces."""
-    names = F.create_map(*(F.lit(x) for x in ("PROBLEM", "problem", "TEST", "test", "TREATMENT", "treatment", "OTHER", "other")))
-    r = _records(spark, sf_dir)
-    toks = spans.scan(r, "rec_id", "text", training.TOKEN)
-    s = spans.exploded(r, "rec_id", "spans").where("coarse IS NOT NULL").select("rec_id", "span_no", "start", "end", F.element_at(names, F.col("coarse")).alias("kind"))
-    tags = spans.align(toks, s.where("kind IS NOT NULL"), "rec_id").select("rec_id", "no", F.col("label").alias("tag"))
-    t = toks.select("rec_id", "no", F.col("match").alias("token")).join(tags, ["rec_id", "no"]).select(F.lit("f").alias("file"), F.col("rec_id").alias("sent"), "no", "token", "tag")
-    u = files.conll_to_unified(t, "i2b2", files.label_table(spark))
+    kinds = ("PROBLEM", "TEST", "TREATMENT", "OTHER")
+    r = _records(spark, sf_dir).where("rec_id IS NOT NULL").withColumn("spans", F.filter("spans", lambda s: s["coarse"].isin(*kinds)))
+    tags = F.array(*map(F.lit, training.bio_labels(tuple(k.lower() for k in kinds))))
+    t = tagging.label_lists(r, "rec_id", "text", "spans", "coarse", kinds)
+    t = t.select(F.lit("f").alias("file"), F.col("rec_id").alias("sent"), F.regexp_extract_all("text", F.lit(training.TOKEN), F.lit(0)).alias("tokens"), F.transform("labels", lambda i: F.get(tags, i)).alias("tags"))
+    u = files.sentences_to_unified(t, "i2b2", files.label_table(spark))
     return spans.listed(u.select(F.col("sent").alias("rec_id"), "spans"), "spans", "rec_id").select("rec_id", "start", "end", "text", "fine", "coarse")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import tables as T
 from ..functions import text as X
-from ..operators import spans as S
+from ..operators import tagging as G
 from ..session import broadcast_if_small
 
 
@@ -148,18 +148,22 @@ def conll_to_unified(tokens: DataFrame, source: str, labels: DataFrame) -> DataF
     of the tags (an I without its B opens one too) with the labels' meaning for the source (see `meaning`); spans
     without one are dropped. Sentences without spans have an empty list."""
     key = ["file", "sent"]
-    placed = conll_offsets(tokens, key).withColumn("k", F.concat_ws("\n", *key))
-    surface = X.surface(F.col("token"))
-    text = placed.groupBy("k", *key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", surface.alias("t")))), lambda x: x["t"]), " ").alias("text"))
-    tags = placed.withColumn("label", F.when(F.col("tag").rlike("^[BI]-.+$"), F.col("tag")).otherwise("O"))
-    runs = S.bio_decode(tags.select("k", "no", "label"), "k", lenient=True)
-    edge = placed.select("k", "no", "start", "end")
-    s = runs.join(edge.select("k", F.col("no").alias("first"), "start"), ["k", "first"]).join(edge.select("k", F.col("no").alias("last"), "end"), ["k", "last"])
-    s = meaning(s.withColumn("source", F.lit(source)).withColumnRenamed("kind", "label"), labels).where(F.coalesce("fine", "coarse").isNotNull())
-    spans = s.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("start", "end", "fine", "coarse"))).alias("s"))
-    none = F.array().cast("array<struct<start:int,end:int,fine:string,coarse:string>>")
-    full = F.transform(F.coalesce("s", none), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.substring("text", x["start"] + 1, x["end"] - x["start"]).alias("text"), x["fine"].alias("fine"), x["coarse"].alias("coarse"), F.array().cast("array<string>").alias("assertions")))
-    return text.join(spans, "k", "left").select(*key, "text", F.lit(source).alias("source"), full.alias("spans"))
+    per = tokens.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("no", "token", "tag"))).alias("a"))
+    return sentences_to_unified(per.select(*key, F.col("a.token").alias("tokens"), F.col("a.tag").alias("tags")), source, labels)
+
+
+def sentences_to_unified(sentences: DataFrame, source: str, labels: DataFrame) -> DataFrame:
+    """The same of sentences (file, sent, tokens, tags) that come as one row each."""
+    key = ["file", "sent"]
+    s = sentences.select(*key, F.transform("tokens", X.surface).alias("t"), "tags")
+    s = s.select(*key, F.array_join("t", " ").alias("text"), F.transform("t", F.length).alias("lens"), "tags")
+    asked = (lambda c: c) if source == "i2b2" else F.upper
+    # the labels of one source, in one row
+    known = labels.where((F.col("source") == source) & F.coalesce("fine", "coarse").isNotNull()).agg(F.collect_list(F.struct("label", "fine", "coarse")).alias("known"))
+    meant = lambda r: F.transform(F.filter("known", lambda k: k["label"] == asked(r["label"])), lambda k: F.struct(r["start"].alias("start"), r["end"].alias("end"), k["fine"].alias("fine"), k["coarse"].alias("coarse")))
+    spans = G.runs(s, "lens", "tags", *key, "text").join(F.broadcast(known)).select(*key, "text", F.array_sort(F.flatten(F.transform("runs", meant))).alias("s"))
+    full = F.transform("s", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.substring("text", x["start"] + 1, x["end"] - x["start"]).alias("text"), x["fine"].alias("fine"), x["coarse"].alias("coarse"), F.array().cast("array<string>").alias("assertions")))
+    return spans.select(*key, "text", F.lit(source).alias("source"), full.alias("spans"))
 
 
 def meaning(df: DataFrame, labels: DataFrame) -> DataFrame:

@@ -75,3 +75,16 @@ def test_token_rows_by_hand(spark, monkeypatch):
     assert {k: [v[i] for i in range(len(v))] for k, v in got.items()} == want
     lists = {r.k: [list(x) for x in zip(r.starts, r.ends, r.fine, r.coarse, r.flags, r.mask, strict=True)] for r in training.record_rows(df, "k", "text", "spans").collect()}
     assert lists == want
+
+
+def test_runs_of_sentences_by_hand(spark):
+    """Sentences next to each other, an I without its B, kinds that meet, null and odd tags."""
+    rows = [(0, ["a_b", "c", "d"], ["I-x", "I-x", "B-x"]), (1, ["é", "\U0001f642"], ["I-x", "I-y"]), (2, [], []), (3, ["q", "r", "s"], ["O", None, "B-"]), (4, ["u", "v"], ["B-x", "I-x"])]
+    df = spark.createDataFrame(rows, "sent int, tokens array<string>, tags array<string>").coalesce(1).selectExpr("sent", "transform(tokens, t -> length(t)) AS lens", "tags")
+    got = {r.sent: [tuple(x) for x in r.runs] for r in tagging.runs(df, "lens", "tags", "sent").collect()}
+    assert got == {0: [(0, 5, "x"), (6, 7, "x")], 1: [(0, 1, "x"), (2, 3, "y")], 2: [], 3: [], 4: [(0, 3, "x")]}
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables here")
+def test_conll_unified_in_few_shuffles(spark):
+    assert shuffles(prep_queries.conll_unified(spark, DATA)) <= 8
