@@ -26,7 +26,7 @@ No step is all against all: an anchor that is frequent is split over a grid of s
 by training record, so a shard's evaluation side and its work are bounded; training rows are streamed.
 
 Defined results: null and blank texts are no cases; `split` is compared without case and blanks, train against
-dev and test; rows delivered twice count once; copies give every pair that the definition asks for.
+dev and test; rows delivered twice count once, each text where they differ; copies give every pair that the definition asks for.
 """
 
 from __future__ import annotations
@@ -527,10 +527,41 @@ def compared(unified: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD,
     return b.select("t", "e", "tw", "ew").mapInArrow(_compare(threshold, with_spans), _SPANS)
 
 
+def own_ids(unified: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(rec_id, split, text) in which each text of a record that came with several texts, or on both sides, has an id
+    of its own, and (own, of) of those ids; None if no record did."""
+    split = F.lower(F.trim("split"))
+    used = unified.where(split.isin("train", "dev", "test") & F.col("text").isNotNull() & F.col("rec_id").isNotNull())
+    train, h = split == "train", F.xxhash64("text")
+    facts = used.groupBy("rec_id").agg(F.min(h).alias("a"), F.max(h).alias("b"), F.min(train).alias("c"), F.max(train).alias("d"))
+    many = cut(facts.where("a <> b OR c <> d").select("rec_id"))
+    if many.isEmpty():
+        return unified.select("rec_id", "split", "text"), None
+    top = used.agg(F.max("rec_id")).first()[0]
+    texts = used.join(broadcast_if_small(many), "rec_id", "left_semi").groupBy(F.col("rec_id").alias("of"), train.alias("train"), "text").agg(F.min(split).alias("split"))
+    texts = cut(texts.withColumn("own", F.lit(top + 1) + F.monotonically_increasing_id()))
+    rest = unified.select("rec_id", "split", "text").join(broadcast_if_small(many), "rec_id", "left_anti")
+    return rest.unionByName(texts.select(F.col("own").alias("rec_id"), "split", "text")), texts.select("own", "of")
+
+
+def _of_records(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """`pairs` by the ids of the records; of a pair that several texts give the closest."""
+    for side in ("t", "e"):
+        names = own.select(F.col("own").alias(side), F.col("of").alias(f"{side}_of"))
+        pairs = pairs.join(broadcast_if_small(names), side, "left")
+    pairs = cut(pairs)
+    twice = F.col("t_of").isNotNull() | F.col("e_of").isNotNull()
+    cols = ("exact", "jaccard", "n_spans", "longest", "covered", "spans")
+    best = pairs.where(twice).groupBy(F.coalesce("t_of", "t").alias("t"), F.coalesce("e_of", "e").alias("e")).agg(F.max(F.struct(*cols)).alias("b"))
+    return pairs.where(~twice).select("t", "e", *cols).unionByName(best.select("t", "e", "b.*"))
+
+
 def overlaps(unified: DataFrame, threshold: float = THRESHOLD, with_spans: bool = False, hot: int = HOT, work: int = WORK) -> DataFrame:
     """(t, e, exact, jaccard, n_spans, longest, covered, spans): every pair of a train record and a dev or test
     record, copies expanded. `exact`: the words are the same in the same order; copies have one span then, else
-    null counts (the same words in another order are not searched)."""
+    null counts (the same words in another order are not searched). A record that came with several texts, or in
+    both splits, counts with each of them."""
+    unified, own = own_ids(unified)
     table, path = record_words(unified)
     dups = cut(copies(unified, table))
     pairs = cut(candidates(table, dups, threshold, hot, work))
@@ -546,7 +577,8 @@ def overlaps(unified: DataFrame, threshold: float = THRESHOLD, with_spans: bool
         held.withColumnRenamed("e", "t").withColumn("salt", F.pmod(F.xxhash64("e_rec"), F.lit(salts)).cast("int")), ["t", "salt"]
     )
     same = salted.select(F.col("t_rec").alias("t"), F.col("e_rec").alias("e"), (F.col("t_seq") == F.col("e_seq")).alias("exact"), F.lit(1.0).alias("jaccard"))
-    return near.unionByName(same, allowMissingColumns=True)
+    found = near.unionByName(same, allowMissingColumns=True)
+    return found if own is None else _of_records(found, own)
 
 
 def report(unified: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -151,6 +151,16 @@ def _found_pairs(spark, pairs):
     return {(min(r.t, r.e), max(r.t, r.e)) for r in overlap.overlaps(df).collect()}, _bag_pairs(rows)
 
 
+def test_overlap_of_records_with_several_texts(spark):
+    """Only one text of such a record was compared, and it passed for a copy of what its other text equals."""
+    t = lambda s, more="": " ".join(f"{s}{k}" for k in range(10)) + more
+    rows = [(1, "train", t("a")), (1, "train", t("b")), (2, "test", t("a", " x")), (3, "dev", t("b", " y")), (4, "train", t("c")), (5, "train", t("c")), (5, "train", t("d")), (6, "test", t("d", " y"))]
+    rows += [(7, "test", t("c", " y")), (8, "dev", t("d")), (9, "train", t("f")), (9, "test", t("f", " z")), (10, "dev", t("f")), (11, "train", t("g")), (11, "train", t("g", " v")), (12, "dev", t("g"))]
+    df = spark.createDataFrame([(*r, "s") for r in rows], "rec_id bigint, split string, text string, source string")
+    got = [(r.t, r.e, r.exact) for r in overlap.overlaps(df).collect()]
+    assert sorted(got) == [(1, 2, False), (1, 3, False), (4, 7, False), (5, 6, False), (5, 7, False), (5, 8, True), (9, 9, False), (9, 10, True), (11, 12, True)]
+
+
 def _texts(seed, sizes):
     rng = np.random.default_rng(seed)
     return [[f"w{k}" for k in rng.integers(0, 3000, n)] for n in sizes]
