@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as X
-from ..session import broadcast_if_small
+from ..session import BROADCAST_ROWS, broadcast_if_small
 from . import kb
+from .closest import best_codes
 
 
 def link_icd_exact(mentions: DataFrame, icd: DataFrame, topk: int = 3, expand: bool = True) -> DataFrame:
@@ -183,13 +184,20 @@ def _equal(mentions: DataFrame, pairs: DataFrame) -> DataFrame:
     return mentions.select("key").distinct().join(broadcast_if_small(pairs.distinct()), "key").select("key", "code", F.lit(1.0).alias("score"))
 
 
+def _closest_codes(mentions: DataFrame, entries: DataFrame, topk: int, cap: int = 400) -> DataFrame:
+    """(key, code, score): codes of the closest entries, the `topk` best among them; all trigrams count."""
+    found = best_codes(mentions, entries, topk, cap, BROADCAST_ROWS // 4)
+    if found is not None:
+        return found
+    return _best_codes(closest(mentions, entries, cap, hot=1 << 62), entries, 10_000).select("key", "code", "score")
+
+
 def explain(mentions: DataFrame, icd: DataFrame, topk: int = 5) -> DataFrame:
     """(key, code, name, score): the closest entries of each language with exact ones at 1, no threshold."""
     pairs = kb.icd_pairs(icd).where("key <> ''")
     fuzzy = None
     for c in ("key_vn", "key_en"):
-        e = icd.select(F.col(c).alias("key"), "code").where("key <> ''")
-        part = _best_codes(closest(mentions, e), e, 10_000).select("key", "code", "score")
+        part = _closest_codes(mentions, icd.select(F.col(c).alias("key"), "code").where("key <> ''"), topk)
         fuzzy = part if fuzzy is None else fuzzy.unionByName(part)
     return _explained(_equal(mentions, pairs), fuzzy, kb.icd_names(icd), topk)
 
@@ -197,5 +205,5 @@ def explain(mentions: DataFrame, icd: DataFrame, topk: int = 5) -> DataFrame:
 def explain_rx(mentions: DataFrame, rx: DataFrame, topk: int = 6) -> DataFrame:
     """The same for drugs, with preferred names."""
     pairs = rx.select("key", F.col("rxcui").alias("code")).where("key <> ''")
-    fuzzy = _best_codes(closest(mentions, pairs), pairs, 10_000).select("key", "code", "score")
+    fuzzy = _closest_codes(mentions, pairs, topk)
     return _explained(_equal(mentions, pairs), fuzzy, kb.preferred(rx).select(F.col("rxcui").alias("code"), "name"), topk)
